@@ -16,7 +16,7 @@ WITH pairs AS (
   FROM (SELECT DISTINCT repo, snapshot_no FROM snapshots WHERE status = 'complete')
 ), clean AS (
   SELECT repo, snapshot_no,
-         array_to_string(list_filter(string_split(replace(path, '\', '/'), '/'), x -> x NOT IN ('', '.')), '/') AS path,
+         array_to_string(list_filter(string_split(replace(path, '\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path,
          regexp_replace(lower(trim(hash)), '^[a-z0-9_-]+[:=]|^0x', '') AS digest, loaded_at
   FROM file_states
 ), latest AS (
