@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("token_queries", "vector_queries", "page_queries")
+MODULES = ("token_queries", "vector_queries", "page_queries", "code_queries")
 
 
 def _all(kind: str) -> dict:
