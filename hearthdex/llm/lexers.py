@@ -365,3 +365,269 @@ def rust_tokens(text: str) -> tuple[Tokens, list[int]]:
     places.append(n)
     partner.append(-1)
     return out, partner
+
+
+# JavaScript and TypeScript ------------------------------------------------------------
+
+_JS_WORDS = frozenset(
+    "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in "
+    "instanceof new null return super switch this throw true try typeof var void while with let static async await yield of get set as from "
+    "type interface namespace module declare abstract readonly public private protected override is asserts infer keyof unique satisfies "
+    "accessor global implements out require assert".split()
+)
+#: Words after which a slash begins a regular expression and ``<`` an element.
+_JS_OPERATOR_WORDS = frozenset("return typeof case do else in instanceof new void delete throw default await yield of extends".split())
+_JS_NUMBER = r"0[xX][\da-fA-F](?:_?[\da-fA-F])*n?|0[oO][0-7](?:_?[0-7])*n?|0[bB][01](?:_?[01])*n?|(?:\d(?:_?\d)*)n|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?"
+_JS = re.compile(
+    r"(?P<space>[ \t\v\f ﻿]+)"
+    r"|(?P<line>[\r\n  ]\s*)"
+    r"|(?P<word>(?:[A-Za-z_$]|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\}|[^\W\d_])(?:[\w$‌‍]|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})*)"
+    rf"|(?P<number>(?=[\d.])(?:{_JS_NUMBER})(?<![^\d]\.)(?<!^\.))"
+    r"|(?P<str>\"(?:[^\"\\\r\n]|\\(?:\r\n|[^u]|u[\da-fA-F]{4}|u\{[\da-fA-F]+\}))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[^u]|u[\da-fA-F]{4}|u\{[\da-fA-F]+\}))*')"
+    r"|(?P<comment>//[^\r\n  ]*|/\*)"
+    r"|(?P<private>\#[^\W\d][\w$]*)"
+    r"|(?P<op>\.\.\.|=>|===|!==|==|!=|\*\*=|\*\*|<<=|<<|<=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[+\-*%&|^]=|[+\-*%&|^!~<>=?:;,.(){}\[\]@])"
+    r"|(?P<tick>`)"
+    r"|(?P<slash>/)",
+    re.S,
+)
+_JS_KIND = {
+    **dict.fromkeys(("===", "!==", "==", "!=", "**", "<<", "<=", "&&", "||", "??", "%", "^", "/"), "BINARY"),
+    **dict.fromkeys(("**=", "<<=", "&&=", "||=", "??=", "+=", "-=", "*=", "%=", "&=", "|=", "^=", "/="), "ASSIGN"),
+}
+_JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\\\]\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
+_JS_PAIR = {"(": ")", "[": "]", "{": "}"}
+_JS_OPERAND_END = frozenset({"IDENT", "NUMBER", "STRING", "REGEX", "TEND", "JEND", "PRIVATE", ")", "]", "}", "++", "--"})
+_JSX_NAME = re.compile(r"[A-Za-z_$][\w$-]*(?::[A-Za-z_$][\w$-]*)?(?:\.[A-Za-z_$][\w$-]*)*")
+_JSX_SPACE = re.compile(r"(?:\s+|//[^\n]*|/\*.*?\*/)*", re.S)
+_JSX_STRING = re.compile(r"\"[^\"]*\"|'[^']*'")
+_JSX_GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b(?!\s*=)|=[^>])")
+_MARKER = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r\n]|$)", re.M)
+
+
+class _Ecma:
+    def __init__(self, text: str, typed: bool, jsx: bool, regex_after: frozenset = frozenset()):
+        self.text, self.typed, self.jsx = text, typed, jsx
+        self.out = Tokens()
+        self.partner: list[int] = []
+        self.ends = _JS_OPERAND_END - regex_after
+        self.doubtful = False
+
+    def add(self, kind: str, place: int, before: bool = False) -> None:
+        self.out.add(kind, place, before)
+        self.partner.append(-1)
+
+    def operand_before(self) -> bool:
+        kinds = self.out.kinds
+        if not kinds:
+            return False
+        last = kinds[-1]
+        if last in self.ends:
+            return True
+        return last in _JS_WORDS and last not in _JS_OPERATOR_WORDS
+
+    def run(self) -> int:
+        at = 1 if self.text.startswith("﻿") else 0
+        if self.text.startswith("#!", at):
+            m = re.compile(r"[^\r\n]*").match(self.text, at)
+            at = m.end()
+        at = self.tokens(at, "")
+        self.add("EOF", at, True)
+        return at
+
+    def tokens(self, at: int, closer: str) -> int:
+        """Up to the end, or behind the bracket that closes what ``closer`` names (TCLOSE, JCLOSE)."""
+        text, out, partner = self.text, self.out, self.partner
+        kinds, places, before = out.kinds, out.places, out.before
+        match, n = _JS.match, len(text)
+        stack: list[int] = []
+        line = not kinds
+        while at < n:
+            m = match(text, at)
+            if m is None:
+                if text[at].isspace():
+                    at += 1
+                    continue
+                raise Broken(at)
+            group, end = m.lastgroup, m.end()
+            if group == "space":
+                at = end
+                continue
+            if group == "line":
+                line, at = True, end
+                continue
+            if group == "word":
+                word = m[0]
+                dotted = kinds and kinds[-1] in (".", "?.")
+                kind = word if not dotted and word in _JS_WORDS else "IDENT"
+            elif group == "op":
+                word = m[0]
+                kind = _JS_KIND.get(word, word)
+                if word == "<" or word == "<<":
+                    if self.jsx and not self.operand_before() and word == "<" and self.element_at(at):
+                        self.add("JSX", at, line)
+                        line = False
+                        at = self.element(at)
+                        self.add("JEND", at)
+                        continue
+                    if word == "<<" and self.typed and kinds and kinds[-1] == "IDENT" and re.match(r"<<[A-Za-z_$][\w$]*>?\(", text[at : at + 40]):
+                        kind, end = "<", at + 1
+                elif word in _JS_PAIR:
+                    stack.append(len(kinds))
+                elif word in ")]}":
+                    if not stack:
+                        if word == "}" and closer:
+                            self.add(closer, at, line)
+                            return end
+                        raise Broken(at)
+                    first = stack.pop()
+                    if _JS_PAIR[kinds[first]] != word:
+                        raise Broken(at)
+                    partner[first] = len(kinds)
+            elif group == "comment":
+                if m[0] == "/*":
+                    close = text.find("*/", end)
+                    if close < 0:
+                        raise Broken(at)
+                    line = line or "\n" in text[at:close]
+                    end = close + 2
+                at = end
+                continue
+            elif group == "str":
+                kind = "STRING"
+            elif group == "number":
+                kind = "NUMBER"
+                if end < n and (text[end].isalnum() or text[end] in "_$"):
+                    raise Broken(at)
+            elif group == "private":
+                kind = "PRIVATE"
+            elif group == "tick":
+                self.add("TSTART", at, line)
+                line = False
+                at = self.template(end)
+                continue
+            else:
+                if kinds and kinds[-1] in (")", "}"):
+                    self.doubtful = True
+                r = None if self.operand_before() else _JS_REGEX.match(text, at)
+                if r:
+                    kind, end = "REGEX", r.end()
+                elif text.startswith("/=", at):
+                    kind, end = "ASSIGN", at + 2
+                else:
+                    kind = "BINARY"
+            kinds.append(kind)
+            places.append(at)
+            before.append(line)
+            partner.append(-1)
+            line = False
+            at = end
+        if closer or stack:
+            raise Broken(n)
+        return n
+
+    def template(self, at: int) -> int:
+        text, n = self.text, len(self.text)
+        while at < n:
+            c = text[at]
+            if c == "\\":
+                at += 2
+            elif c == "`":
+                self.add("TEND", at)
+                return at + 1
+            elif c == "$" and text.startswith("${", at):
+                self.add("TOPEN", at)
+                at = self.tokens(at + 2, "TCLOSE")
+            else:
+                at += 1
+        raise Broken(n)
+
+    def element_at(self, at: int) -> bool:
+        text = self.text
+        if text.startswith("<>", at):
+            return True
+        m = _JSX_NAME.match(text, at + 1)
+        if not m:
+            return False
+        if self.typed and _JSX_GENERIC.match(text, at):
+            return False
+        if self.typed and text.startswith(">(", m.end()) and f"</{m[0]}" not in text[m.end() :]:
+            return False
+        return True
+
+    def element(self, at: int) -> int:
+        """Checks an element from its ``<``; the place behind it. Expressions inside become tokens."""
+        text, n = self.text, len(self.text)
+        if text.startswith("<>", at):
+            name, at = "", at + 2
+        else:
+            m = _JSX_NAME.match(text, at + 1)
+            if not m:
+                raise Broken(at)
+            name, at = m[0], m.end()
+            while True:
+                at = _JSX_SPACE.match(text, at).end()
+                if at >= n:
+                    raise Broken(n)
+                c = text[at]
+                if c == ">":
+                    at += 1
+                    break
+                if c == "/":
+                    if not text.startswith("/>", at):
+                        raise Broken(at)
+                    return at + 2
+                if c == "{":
+                    self.add("JOPEN", at)
+                    at = self.tokens(at + 1, "JCLOSE")
+                    continue
+                m = _JSX_NAME.match(text, at)
+                if not m or "." in m[0]:
+                    raise Broken(at)
+                at = _JSX_SPACE.match(text, m.end()).end()
+                if text.startswith("=", at):
+                    at = _JSX_SPACE.match(text, at + 1).end()
+                    m = _JSX_STRING.match(text, at)
+                    if m:
+                        at = m.end()
+                    elif text.startswith("{", at):
+                        self.add("JOPEN", at)
+                        at = self.tokens(at + 1, "JCLOSE")
+                    elif text.startswith("<", at):
+                        at = self.element(at)
+                    else:
+                        raise Broken(at)
+        while at < n:
+            c = text[at]
+            if c == "{":
+                self.add("JOPEN", at)
+                at = self.tokens(at + 1, "JCLOSE")
+            elif c == "<":
+                if text.startswith("</", at):
+                    at = _JSX_SPACE.match(text, at + 2).end()
+                    m = _JSX_NAME.match(text, at)
+                    if (m[0] if m else "") != name:
+                        raise Broken(at)
+                    at = _JSX_SPACE.match(text, m.end() if m else at).end()
+                    if not text.startswith(">", at):
+                        raise Broken(at)
+                    return at + 1
+                at = self.element(at)
+            elif c in ">}":
+                raise Broken(at)
+            elif c in "=|" and _MARKER.match(text, at) and (at == 0 or text[at - 1] == "\n"):
+                raise Broken(at)
+            else:
+                at += 1
+        raise Broken(n)
+
+
+def ecma_tokens(text: str, typed: bool, jsx: bool, regex_after: frozenset = frozenset()) -> tuple[Tokens, list[int], bool]:
+    """Tokens, partners of brackets, and whether a slash might have been read the other way."""
+    x = _Ecma(text, typed, jsx, regex_after)
+    try:
+        x.run()
+    except (Broken, RecursionError) as e:
+        x.add("BAD", e.place if isinstance(e, Broken) else len(text), True)
+        x.add("EOF", len(text), True)
+    return x.out, x.partner, x.doubtful

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from functools import cache
 from importlib.resources import files
 
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from hearthdex.functions.paths import LANGUAGE_BY_EXTENSION, language_of
 from hearthdex.llm import lexers
+from hearthdex.llm.files import current_files
 from hearthdex.llm.parsing import Parser
 
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
@@ -131,9 +137,116 @@ def expanded(text: str) -> str:
     return "\n".join(out)
 
 
-LANGUAGES = {"python": Python, "rust": Rust}
+class Ecma(Language):
+    """JavaScript or TypeScript; a file may be a module or a script."""
+
+    def __init__(self, typed: bool, jsx: bool):
+        self.typed, self.jsx = typed, jsx
+        mine, other = ("ts|", "js|") if typed else ("js|", "ts|")
+        lines = [x.removeprefix(mine) for x in _grammar("ecma").splitlines() if not x.startswith(other)]
+        now = self._now = {"partner": []}
+
+        def semi(kinds: list[str], before: list[bool], p: int) -> int:
+            kind = kinds[p]
+            return p + 1 if kind == ";" else p if before[p] or kind in ("}", "EOF") else -1
+
+        def same(kinds: list[str], before: list[bool], p: int) -> int:
+            return -1 if before[p] else p
+
+        def arrow_ahead(kinds: list[str], before: list[bool], p: int) -> int:
+            if kinds[p] != "(":
+                return -1
+            return p if kinds[now["partner"][p] + 1] in (("=>", ":") if typed else ("=>",)) else -1
+
+        def function_ahead(kinds: list[str], before: list[bool], p: int) -> int:
+            return p if kinds[p] == "(" and kinds[now["partner"][p] + 1] == "=>" else -1
+
+        def target(kinds: list[str], before: list[bool], p: int) -> int:
+            return -1 if kinds[p - 1] in ("NUMBER", "STRING", "REGEX", "TEND", "++", "--", "true", "false", "null") else p
+
+        natives = {
+            "semi": semi, "same": same, "arrow_ahead": arrow_ahead, "target": target, "never": lambda kinds, before, p: -1,
+        }
+        if typed:
+            natives |= {
+                "function_ahead": function_ahead,
+                "line_or_close": lambda kinds, before, p: p if before[p] or kinds[p] == "}" else -1,
+                "word_require": lambda kinds, before, p: p + 1 if kinds[p] == "require" else -1,
+            }
+        self.parser = Parser("\n".join(lines), "file", natives)
+
+    def error(self, text: str) -> int:
+        first = -1
+        for after in (frozenset(), frozenset({"}"}), frozenset({")", "}"})):
+            tokens, partner, doubtful = lexers.ecma_tokens(text, self.typed, self.jsx, after)
+            if tokens.kinds[-2:-1] == ["BAD"]:
+                place = tokens.places[-2]
+            else:
+                self._now["partner"] = partner
+                try:
+                    p = self.parser.parse(tokens.kinds, tokens.before)
+                except RecursionError:
+                    return len(text)
+                if p < 0:
+                    marker = lexers._MARKER.search(text)
+                    return -1 if marker is None or marker.start() not in set(tokens.places) else marker.start()
+                place = tokens.places[p]
+            first = place if first < 0 else first
+            if not doubtful:
+                break
+        return first
+
+
+LANGUAGES = {
+    "python": Python,
+    "rust": Rust,
+    "javascript": lambda: Ecma(False, True),
+    "typescript": lambda: Ecma(True, False),
+    "tsx": lambda: Ecma(True, True),
+}
 
 
 @cache
 def language(name: str) -> Language:
     return LANGUAGES[name]()
+
+
+def first_error(path: str, text: str) -> tuple[str, int] | None:
+    """Language and line (from 1) of the first error by the path's language; None if there is none or no grammar."""
+    name = LANGUAGE_BY_EXTENSION.get(path.rsplit("/", 1)[-1].rpartition(".")[2]) if "." in path else None
+    if name is None:
+        return None
+    place = language(name).error(text)
+    return None if place < 0 else (name, 1 + text.count("\n", 0, place))
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        lines = [x[1] if (x := first_error(p, t or "")) else 0 for p, t in zip(pdf["path"], pdf["text"])]
+        yield pdf[["repo", "path", "language"]].assign(line=pd.Series(lines, dtype="int64", index=pdf.index))
+
+
+def parsed_files(chunks: DataFrame) -> DataFrame:
+    """``repo, path, language, line`` of each file with a grammar; ``line`` is that of the first error, else 0.
+
+    The language is that of the path's extension; files of other extensions have no row.
+    Whole current texts are parsed. An empty text is valid; nesting beyond the parser's
+    depth counts as an error.
+    """
+    rows = chunks.select("repo", "path", "chunk_index", "text", "indexed_at").where(language_of(F.col("path")).isNotNull())
+    return (
+        current_files(rows).withColumn("language", language_of(F.col("path")))
+        .mapInPandas(_parse, "repo string, path string, language string, line long")
+    )
+
+
+def invalid_files(chunks: DataFrame) -> DataFrame:
+    """The rows of :func:`parsed_files` with an error."""
+    return parsed_files(chunks).where("line > 0")
+
+
+def invalid_rates(chunks: DataFrame) -> DataFrame:
+    """``repo, language, files, invalid, rate`` over all files with a grammar."""
+    return parsed_files(chunks).groupBy("repo", "language").agg(
+        F.count("*").alias("files"), F.count_if(F.col("line") > 0).alias("invalid"), F.round(F.avg((F.col("line") > 0).cast("int")), 6).alias("rate")
+    )
