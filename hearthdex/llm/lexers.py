@@ -373,7 +373,7 @@ _JS_WORDS = frozenset(
     "break case catch class const continue debugger default delete do else enum export extends false finally for function if import in "
     "instanceof new null return super switch this throw true try typeof var void while with let static async await yield of get set as from "
     "type interface namespace module declare abstract readonly public private protected override is asserts infer keyof unique satisfies "
-    "accessor global implements out require assert".split()
+    "accessor global implements out require assert using".split()
 )
 #: Words after which a slash begins a regular expression and ``<`` an element.
 _JS_OPERATOR_WORDS = frozenset("return typeof case do else in instanceof new void delete throw default await yield of extends".split())
@@ -385,7 +385,7 @@ _JS = re.compile(
     rf"|(?P<number>(?=[\d.])(?:{_JS_NUMBER})(?<![^\d]\.)(?<!^\.))"
     r"|(?P<str>\"(?:[^\"\\\r\n]|\\(?:\r\n|[^u]|u[\da-fA-F]{4}|u\{[\da-fA-F]+\}))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|[^u]|u[\da-fA-F]{4}|u\{[\da-fA-F]+\}))*')"
     r"|(?P<comment>//[^\r\n  ]*|/\*)"
-    r"|(?P<private>\#[^\W\d][\w$]*)"
+    r"|(?P<private>\#(?:\$|[^\W\d])[\w$]*)"
     r"|(?P<op>\.\.\.|=>|===|!==|==|!=|\*\*=|\*\*|<<=|<<|<=|&&=|\|\|=|\?\?=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|[+\-*%&|^]=|[+\-*%&|^!~<>=?:;,.(){}\[\]@])"
     r"|(?P<tick>`)"
     r"|(?P<slash>/)",

@@ -164,6 +164,10 @@ class Ecma(Language):
         def target(kinds: list[str], before: list[bool], p: int) -> int:
             return -1 if kinds[p - 1] in ("NUMBER", "STRING", "REGEX", "TEND", "++", "--", "true", "false", "null") else p
 
+        def require(kinds: list[str], before: list[bool], p: int) -> int:
+            return p + 1 if kinds[p] == "require" else -1
+
+        require.first = {"require"}
         natives = {
             "semi": semi, "same": same, "arrow_ahead": arrow_ahead, "target": target, "never": lambda kinds, before, p: -1,
         }
@@ -171,7 +175,7 @@ class Ecma(Language):
             natives |= {
                 "function_ahead": function_ahead,
                 "line_or_close": lambda kinds, before, p: p if before[p] or kinds[p] == "}" else -1,
-                "word_require": lambda kinds, before, p: p + 1 if kinds[p] == "require" else -1,
+                "word_require": require,
             }
         self.parser = Parser("\n".join(lines), "file", natives)
 
