@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 REACH = 2
 
 
-def islands(hits: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+def islands(hits: DataFrame, keys: Sequence[str] = ("path",), ties: Sequence[str] = ()) -> DataFrame:
     """``hits`` with ``island`` (from 1 within ``keys``) and ``piece``, the text with its separator.
 
-    Hits are taken by ``start_line``, then ``chunk_index``. A hit continues the island if
+    Hits are taken by ``start_line``, then ``chunk_index``, then ``ties``. A hit continues the island if
     it starts at most two lines behind the furthest end so far. A line break stands
     before a piece that starts behind the hit before it; overlaps are kept as they are.
     """
-    order = W.partitionBy(*keys).orderBy("start_line", "chunk_index")
+    order = W.partitionBy(*keys).orderBy("start_line", "chunk_index", *ties)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     opens = F.coalesce(F.col("start_line") > F.max("end_line").over(before) + REACH, F.lit(True))
     step = hits.withColumns({"_opens": opens, "_last": F.lag("start_line").over(order)})
@@ -30,16 +30,16 @@ def islands(hits: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     ).drop("_opens", "_last")
 
 
-def merged(hits: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+def merged(hits: DataFrame, keys: Sequence[str] = ("path",), ties: Sequence[str] = ()) -> DataFrame:
     """One row per island: ``keys, start_line, end_line, language, symbol, code, score``.
 
     Language and symbol are the first hit's, the score is the best. Null and NaN scores
     rank below all others.
     """
-    place = F.struct("start_line", "chunk_index", "piece")
-    at = F.struct("start_line", "chunk_index")
+    at = F.struct("start_line", "chunk_index", *ties)
+    place = F.struct("start_line", "chunk_index", *ties, "piece")
     return (
-        islands(hits.withColumn("score", F.coalesce(F.nanvl("score", F.lit(-2.0)), F.lit(-2.0))), keys)
+        islands(hits.withColumn("score", F.coalesce(F.nanvl("score", F.lit(-2.0)), F.lit(-2.0))), keys, ties)
         .groupBy(*keys, "island")
         .agg(
             F.min("start_line").alias("start_line"),

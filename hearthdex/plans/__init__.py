@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold QUERIES and SQL.
-MODULES = ("changes",)
+MODULES = ("changes", "corpus", "retrieval", "pipeline")
 
 
 def _all(kind: str) -> dict:
@@ -24,4 +24,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark, sf_dir):
-    return queries()["p3_found"](spark, sf_dir)
+    return queries()["search_end_to_end"](spark, sf_dir)
