@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from hearthdex.session import shuffle_partitions
+
 
 def current_files(chunks: DataFrame) -> DataFrame:
     """``repo, path, text``: the current text of each file.
@@ -17,6 +19,7 @@ def current_files(chunks: DataFrame) -> DataFrame:
     piece = F.struct(F.col("indexed_at").alias("at"), F.col("chunk_index").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     files = (
         chunks.where("repo is not null and path is not null")
+        .repartition(shuffle_partitions(chunks.sparkSession), "repo", "path")  # else small shuffles become one task
         .groupBy("repo", "path")
         .agg(F.max("indexed_at").alias("at"), F.collect_set(piece).alias("pieces"))
     )

@@ -15,7 +15,7 @@ from hearthdex.operators.knn import nearest, nearest_many
 from hearthdex.operators.select import distilled, focus_why, ranked, relevance_floor, rendered, token_budget
 from hearthdex.chunking.windows import line_windows
 from hearthdex.plans.corpus import _BLANK, _FIRST, _VERSIONS, stand_in
-from hearthdex.session import table
+from hearthdex.session import spread, table
 
 #: Numbers of a mock vector, results of a search and the floor of its scores.
 DIM, K, RATIO, BUDGET = 16, 25, 0.75, 4000
@@ -141,7 +141,7 @@ def search_end_to_end(spark, sf_dir):
         for pdf in batches:
             yield pdf.assign(vector=list(embedder.embed(list(pdf["text"]))))
 
-    pieces = line_windows(stand_in(spark, sf_dir).where("text is not null"))
+    pieces = spread(line_windows(stand_in(spark, sf_dir).where("text is not null")))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
     chunks = pieces.mapInPandas(run, f"{fields}, vector array<float>")
     hits = nearest(chunks, embedder.embed(["search over the source tree"])[0].tolist(), K)

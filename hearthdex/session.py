@@ -62,3 +62,18 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, to fix it for stages that compute more than they read."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer than half of them a task; else as it is.
+
+    For Python stages that compute long over few bytes. Large inputs have a task for each
+    part of a file and aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() <= cores else df
