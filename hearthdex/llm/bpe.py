@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from hearthdex.session import spread
+
 #: The splitting pattern of the public byte-level vocabularies; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -188,7 +190,7 @@ def with_token_ids(df: DataFrame, text: str = "text", key: str = "doc_id", vocab
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return spread(rows).mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def with_token_counts(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
@@ -205,4 +207,4 @@ def with_token_counts(df: DataFrame, text: str = "text", key: str = "doc_id", vo
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, n_tokens long").withColumnRenamed("key", key)
+    return spread(rows).mapInPandas(run, f"key {kind}, n_tokens long").withColumnRenamed("key", key)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hearthdex.llm.graph import Graph
-from hearthdex.session import materialized
+from hearthdex.session import materialized, shuffle_partitions
 
 #: Vectors that the centres are fitted on, at most; all vectors are indexed.
 SAMPLE = 32_768
@@ -188,9 +188,9 @@ def neighbours(
     placed = placed.withColumns(
         {"inside": (F.col("rank") == 0) & (F.col("to_g") == F.col("my_g")), "asking": F.col("to_t") == F.col("my_t")}
     ).where("inside or asking")
-    answers = placed.select("centre", "to_g", "to_t", "class", F.when(F.col("inside"), F.col("ids")).alias("ids"), "vector", "inside", "asking").groupBy(
-        "centre", "to_g", "to_t"
-    ).applyInPandas(_search_shard(width, k, degree, beam, alpha), "class long, scores array<double>, ids array<long>")
+    answers = placed.select("centre", "to_g", "to_t", "class", F.when(F.col("inside"), F.col("ids")).alias("ids"), "vector", "inside", "asking").repartition(
+        shuffle_partitions(spark), "centre", "to_g", "to_t"
+    ).groupBy("centre", "to_g", "to_t").applyInPandas(_search_shard(width, k, degree, beam, alpha), "class long, scores array<double>, ids array<long>")
     merged = (
         answers.select("class", F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("best"))
         .groupBy("class")

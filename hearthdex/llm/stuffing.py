@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from hearthdex.session import materialized
+from hearthdex.session import materialized, spread
 
 #: Function words by language. Fixed values.
 FUNCTION_WORDS = {
@@ -201,7 +201,7 @@ def document_features(df: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInPandas(run, f"key {kind}, {_COLUMNS}")
+    return spread(rows).mapInPandas(run, f"key {kind}, {_COLUMNS}")
 
 
 def stuffed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
