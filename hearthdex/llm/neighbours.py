@@ -25,8 +25,10 @@ SHARD, CENTRES = 2_000, 2_048
 #: Classes in one graph, and searches in one task, at most; larger shards are dealt out.
 GRAPH, SEARCHES = 16_384, 65_536
 #: Nearest centres whose shards a vector searches.
-PROBES = 3
-DEGREE, BEAM, ALPHA = 24, 40, 1.2
+PROBES = 4
+#: Edges of a node, beam of a search in the own shard and in others, relaxation of the pruning,
+#: and nodes of which the nearest begins a search in another shard.
+DEGREE, BEAM, BEAM_AWAY, ALPHA, ENTRIES = 24, 40, 32, 1.2, 64
 DIGITS = 6
 
 
@@ -103,9 +105,13 @@ def _search_shard(width: int, k: int, degree: int, beam: int, alpha: float):
         at = {c: i for i, c in enumerate(names)}
         own = np.array([at.get(c, -1) for c in asking["class"]], dtype=np.int64)
         q32 = q.astype(np.float32)
-        starts = np.where(own >= 0, own, graph.entry).astype(np.int32)
-        found, _far = graph.search(q32, starts, beam)
-        found = found[:, : 2 * k + 2]
+        found = np.full((len(q), 2 * k + 2), -1, dtype=np.int32)
+        home, away = np.flatnonzero(own >= 0), np.flatnonzero(own < 0)
+        entries = np.unique(np.linspace(0, len(base) - 1, min(ENTRIES, len(base))).astype(np.int32))
+        for at_, width_ in ((home, max(beam, found.shape[1])), (away, max(min(beam, BEAM_AWAY), found.shape[1]))):
+            if len(at_):
+                near = own[at_].astype(np.int32) if at_ is home else entries[np.argmax(q32[at_] @ graph.v[entries].T, axis=1)]
+                found[at_] = graph.search(q32[at_], near, width_)[0][:, : found.shape[1]]
         score = np.empty(found.shape)
         for i in range(0, len(q), 4096):
             part = slice(i, i + 4096)
