@@ -156,12 +156,11 @@ def _rust(source: str) -> list[Span]:
                     out.append((t[first][2], t[stop][3], t[i + 1][1] if word != "impl" else None))
                 i, gated, start = stop + 1, False, -1
                 continue
-            if word == "!" and i + 1 < end and t[i + 1][1] in _PAIRS:
-                i = partner[i + 1] + 1  # a macro's tokens are no items
+            group = i + 2 if word == "!" and i > 0 and t[i - 1][1] == "macro_rules" else i + 1
+            if word == "!" and group < end and t[group][1] in _PAIRS:
+                i = partner[group] + 1  # a macro's tokens are no items
                 gated, start = False, -1
                 continue
-            if word == "macro_rules" or (kind == "word" and word == "union"):
-                start = i
             if i in partner:
                 if word == "{" and not gated:
                     walk(i + 1, partner[i])
@@ -219,7 +218,7 @@ def _ecma(source: str, typed: bool) -> list[Span]:
                     at = i + 1
                 if t[at][1] == "function" and at + 1 < end and t[at + 1][0] == "word":
                     stop, name = body(at + 1, end), t[at + 1][1]
-                elif word == "class" and i + 1 < end and t[i + 1][0] == "word" and (i == first or t[i - 1][1] != "abstract"):
+                elif word == "class" and i + 1 < end and t[i + 1][0] == "word" and t[i + 1][1] != "extends" and (i == first or t[i - 1][1] != "abstract"):
                     stop, name = body(i + 1, end), t[i + 1][1]
                 elif typed and word == "interface" and i + 1 < end and t[i + 1][0] == "word":
                     stop, name = body(i + 1, end), t[i + 1][1]
