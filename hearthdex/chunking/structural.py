@@ -224,7 +224,7 @@ def _ecma(source: str, typed: bool) -> list[Span]:
                     stop, name = body(i + 1, end), t[i + 1][1]
                 elif word in variables and i + 1 < end and (t[i + 1][0] == "word" or t[i + 1][1] in "{["):
                     stop = statement_end(i + 1, end)
-            if stop < 0 and kind == "word" and word not in _CONTROL and i + 1 < end and t[i + 1][1] == "(" and i > first and (t[i - 1][1] in "{};,*" or t[i - 1][1] in ("async", "get", "set", "static", "public", "private", "protected", "readonly", "override")):
+            if stop < 0 and kind == "word" and word not in _CONTROL and i + 1 < end and t[i + 1][1] == "(" and i > 0 and (t[i - 1][1] in "{};,*" or t[i - 1][1] in ("async", "get", "set", "static", "public", "private", "protected", "readonly", "override")):
                 close = partner[i + 1]
                 brace = close + 1
                 while brace < end and t[brace][1] not in "{;,=" and not (t[brace][4] and t[brace][1] != "{"):
