@@ -25,6 +25,8 @@ class Embedder:
     max_batch_bytes: int = 32_000
     max_chunk_tokens: int = 2048
     request_timeout_secs: int = 30
+    start_command: str = ""
+    start_timeout_secs: int = 600
     concurrency: int | None = None
 
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from abc import ABC, abstractmethod
 
 import numpy as np
@@ -94,7 +92,9 @@ class MockEmbedder(Embedder):
     ):
         self._dim, self.fail_first, self.always, self.limit, self.bytes_per_token, self.poison = dim, fail_first, always, limit, bytes_per_token, poison
         self.max_input_tokens, self.max_concurrent_requests = None, slots
-        self.count_in = count_in or os.path.join(tempfile.gettempdir(), f"hearthdex-calls-{uuid.uuid4().hex}")
+        self.count_in = count_in
+        if fail_first and not count_in:
+            raise ValueError("fail_first needs count_in")
 
     @property
     def id(self) -> str:
@@ -105,14 +105,15 @@ class MockEmbedder(Embedder):
         return self._dim
 
     def calls(self) -> int:
-        return os.path.getsize(self.count_in) if os.path.exists(self.count_in) else 0
+        return os.path.getsize(self.count_in) if self.count_in and os.path.exists(self.count_in) else 0
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        with open(self.count_in, "ab") as f:
-            f.write(b".")
+        if self.count_in:
+            with open(self.count_in, "ab") as f:
+                f.write(b".")
         if self.always == "auth":
             raise AuthError("rejected")
-        if self.always == "transient" or self.calls() <= self.fail_first:
+        if self.always == "transient" or (self.fail_first and self.calls() <= self.fail_first):
             raise TransientError("overloaded")
         if self.always == "embed" or (self.poison and any(self.poison in t for t in texts)):
             raise EmbedError("rejected input")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import os
 import threading
 import time
+import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from hearthdex.chunking.structural import chunk_source, focus_pieces, language_for_path
 from hearthdex.config import Config, expand
+from hearthdex.embedding.autostart import connect_or_start
 from hearthdex.embedding.base import ContextExceeded, EmbedError, Embedder, EmbedTimeout, MockEmbedder
 from hearthdex.embedding.batching import embed_all, with_retry
 from hearthdex.embedding.budget import Budget, CannotShrink, concurrency
@@ -72,7 +74,9 @@ def build_embedder(config: Config) -> Embedder:
     e = config.embedder
     if e.backend == "mock":
         return MockEmbedder(dim=64)
-    return HttpEmbedder(e.endpoint, e.model, expand(e.api_key) if e.api_key else None, e.request_timeout_secs)
+    key = expand(e.api_key) if e.api_key else None
+    found, _ = connect_or_start(lambda: HttpEmbedder(e.endpoint, e.model, key, e.request_timeout_secs), e.endpoint, e.start_command or None, e.start_timeout_secs)
+    return found
 
 
 class Engine:
@@ -202,6 +206,36 @@ class Engine:
         hits = hits.where(~is_excluded(F.col("path"), self.excludes)).coalesce(1)
         return distilled(merged(hits), self.config.strip, s.relevance_ratio, s.token_budget).orderBy("rank")
 
+    def answer(self, query: str, k: int | None = None) -> list[Row]:
+        """:meth:`search` run to its rows; its jobs are interrupted at the time limit, which refreshing doesn't count to."""
+        self.ensure_fresh()
+        limit = max(1, self.config.search.search_timeout_secs)
+        context = self.spark.sparkContext
+        tag, done, late = f"hearthdex-{uuid.uuid4().hex}", threading.Event(), []
+
+        def watch() -> None:
+            pause = float(limit)
+            while not done.wait(pause):  # a job that starts after the limit is interrupted too
+                late.append(True)
+                context.cancelJobsWithTag(tag)
+                pause = 0.5
+
+        context.addJobTag(tag)
+        threading.Thread(target=watch, daemon=True).start()
+        try:
+            rows = self.search(query, k, keep_fresh=False).collect()
+        except Exception as x:
+            if late:
+                raise EmbedTimeout(f"the search took longer than {limit} s") from x
+            raise
+        else:
+            if late:
+                raise EmbedTimeout(f"the search took longer than {limit} s")
+            return rows
+        finally:
+            done.set()
+            context.removeJobTag(tag)
+
     def _embed_one(self, text: str) -> np.ndarray:
         rows = with_retry(lambda: self.embedder.embed([text]), self.pauses)
         if len(rows) != 1:

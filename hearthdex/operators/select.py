@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from hearthdex.functions.text import strip_banner, token_estimate
 
@@ -72,5 +72,13 @@ def rendered(entries: DataFrame) -> DataFrame:
 
 def render(entries: DataFrame) -> str:
     """All blocks by rank; ``No matches.`` if there are none. A result of one query, bounded by its k."""
-    blocks = [r["block"] for r in rendered(entries).orderBy("rank").collect()]
-    return "".join(blocks) if blocks else "No matches."
+    return render_rows(entries.collect())
+
+
+def render_rows(rows: Sequence[Row]) -> str:
+    """The same blocks of rows that are on the driver already."""
+    out = []
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        symbol = f" [{r['symbol']}]" if r["symbol"] is not None else ""
+        out.append(f"{r['path']}:{r['start_line']}-{r['end_line']}{symbol} ({r['why_matched']})\n```{r['language'] or ''}\n{r['code']}\n```\n\n")
+    return "".join(out) or "No matches."

@@ -9,7 +9,7 @@ from typing import TextIO
 from hearthdex import __version__
 from hearthdex.engine import LazyEngine
 from hearthdex.health import diagnose, render as render_health
-from hearthdex.operators.select import render
+from hearthdex.operators.select import render, render_rows
 
 TOOLS = [
     {
@@ -35,7 +35,7 @@ def call(engine: LazyEngine, config, name: str, arguments: dict) -> str:
             return render_health(diagnose(config, None, str(x)))
     try:
         if name == "search":
-            return render(engine.get().search(arguments["query"], arguments.get("k")))
+            return render_rows(engine.get().answer(arguments["query"], arguments.get("k")))
         if name == "read_file":
             return render(engine.get().read_file(arguments["path"], arguments.get("focus")))
         return f"error: no tool {name}"

@@ -15,8 +15,19 @@ from hearthdex.embedding.endpoint import Caps, classify, error_of, model_caps, p
 from hearthdex.functions.vectors import cosine, normalized
 
 
-def test_mock_is_deterministic_and_of_unit_length():
-    e = MockEmbedder(8)
+@pytest.fixture
+def counted(tmp_path):
+    made = []
+
+    def make(*a, **k):
+        made.append(1)
+        return MockEmbedder(*a, count_in=str(tmp_path / f"calls{len(made)}"), **k)
+
+    return make
+
+
+def test_mock_is_deterministic_and_of_unit_length(counted):
+    e = counted(8)
     a, b = e.embed(["fn alpha", ""])
     assert np.isclose(np.linalg.norm(a), 1) and not b.any()
     want = [0.0] * 8
@@ -34,17 +45,17 @@ def test_faults_survive_pickling():
     assert (again.n_prompt, again.n_ctx) == (3, 2)
 
 
-def test_retry_only_what_may_pass():
-    assert len(with_retry(lambda e=MockEmbedder(4, fail_first=2): e.embed(["a"]), (0, 0))) == 1
+def test_retry_only_what_may_pass(counted):
+    assert len(with_retry(lambda e=counted(4, fail_first=2): e.embed(["a"]), (0, 0))) == 1
     for kind, calls, error in (("transient", 3, TransientError), ("auth", 1, AuthError), ("embed", 1, EmbedError)):
-        e = MockEmbedder(4, always=kind)
+        e = counted(4, always=kind)
         with pytest.raises(error):
             with_retry(lambda e=e: e.embed(["a"]), (0, 0))
         assert e.calls() == calls
 
 
-def test_requests_are_packed():
-    e = MockEmbedder(4)
+def test_requests_are_packed(counted):
+    e = counted(4)
     assert embed_all(e, ["ab"] * 5, 2, 100).shape == (5, 4) and e.calls() == 3
     assert embed_all(e, [], 2, 100).shape == (0, 4) and e.calls() == 3
 

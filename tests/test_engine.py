@@ -3,11 +3,13 @@ from __future__ import annotations
 import io
 import json
 import os
+import time
 
 import pytest
 
 from hearthdex.config import Config
-from hearthdex.embedding.base import MockEmbedder
+from hearthdex.embedding.autostart import connect_or_start
+from hearthdex.embedding.base import EmbedError, MockEmbedder, TransientError
 from hearthdex.engine import Engine, LazyEngine, RefreshError
 from hearthdex.health import Check, diagnose, overall, render, report
 from hearthdex.operators.select import render as render_entries
@@ -74,12 +76,13 @@ def test_one_bad_file_does_not_stop_the_others(spark, tmp_path):
 
 def test_auth_and_breaker_stop_the_run(spark, tmp_path):
     write(tmp_path, **{f"f{i:02}_dot_rs": f"fn f{i}() {{}}" for i in range(12)})
-    calls = MockEmbedder(16, always="auth")
+    at = str(tmp_path.parent / tmp_path.name)
+    calls = MockEmbedder(16, always="auth", count_in=at + ".auth")
     summary = make(spark, tmp_path, calls).reconcile()
     assert summary.indexed == 0 and len(summary.failed) == 12 and calls.calls() == 1
-    down = MockEmbedder(16, always="transient")
+    down = MockEmbedder(16, always="transient", count_in=at + ".down")
     assert len(make(spark, tmp_path, down).reconcile().failed) == 12 and down.calls() == 15
-    blips = MockEmbedder(16, fail_first=9)
+    blips = MockEmbedder(16, fail_first=9, count_in=at + ".blips")
     summary = make(spark, tmp_path, blips).reconcile()
     assert (summary.indexed, len(summary.failed)) == (9, 3)
 
@@ -105,6 +108,39 @@ def test_read_file(spark, tmp_path):
         engine.read_file("none.py")
 
 
+def test_answers_end_in_time(spark, tmp_path, monkeypatch):
+    write(tmp_path, a_dot_rs="fn a() {}")
+    engine = make(spark, tmp_path)
+    assert [r["symbol"] for r in engine.answer("fn a() {}")] == ["a"]
+    engine.config.search.search_timeout_secs = 1
+    slow = spark.range(2).mapInPandas(lambda batches: (time.sleep(15) or b for b in batches), "id long")
+    monkeypatch.setattr(engine, "search", lambda *a, **k: slow)
+    with pytest.raises(EmbedError, match="longer than 1 s"):
+        engine.answer("x")
+
+
+def test_starting_a_server(tmp_path):
+    tries = []
+
+    def connect():
+        tries.append(1)
+        if len(tries) < 3:
+            raise TransientError("refused")
+        return MockEmbedder(4)
+
+    found, child = connect_or_start(connect, "http://127.0.0.1:9", "sleep 30", 5, 0.01)
+    assert found.dim == 4 and child.poll() is None
+    child.kill()
+    for base, command in (("http://far.example:9", "sleep 30"), ("http://127.0.0.1:9", None)):
+        tries.clear()
+        with pytest.raises(TransientError):
+            connect_or_start(connect, base, command)
+        assert len(tries) == 1
+    with pytest.raises(EmbedError, match="ended with"):
+        tries.clear()
+        connect_or_start(lambda: (_ for _ in ()).throw(TransientError("no")), "http://127.0.0.1:9", "false", 5, 0.2)
+
+
 def test_skipping_the_scan_needs_a_watcher(spark, tmp_path):
     write(tmp_path, a_dot_rs="fn a() {}")
     engine = make(spark, tmp_path)
@@ -129,8 +165,6 @@ def test_watcher(spark, tmp_path):
         assert engine.state.watch_active and len(symbols(engine)) == 1
         write(root, b_dot_rs="fn b() {}")
         os.remove(root / "a.rs")
-        import time
-
         for _ in range(120):
             if symbols(engine) == [("b.rs", "b")]:
                 break
