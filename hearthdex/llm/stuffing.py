@@ -40,7 +40,8 @@ _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>|\[([^\]\n]*)\]\([^)\n]*\)", re.I | re
 _TAG = re.compile(r"<[^>\n]*>")
 _HASH = re.compile(r"#\w+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
+_DIGITS = re.compile(r"\d+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _END = re.compile(r"(?<=[.!?…])\s+(?=\S)|(?<=[。！？])")
 _STOP = re.compile(r"[.!?…。！？:;][\"'”’)\]]*\s*$")
@@ -121,9 +122,7 @@ def pieces(text: str) -> Iterator[tuple[str, str]]:
         if bare.startswith("|") or bare.count("\t") >= 2:
             yield "log", bare
             continue
-        digits = sum(c.isdigit() for c in bare)
-        letters = sum(c.isalpha() for c in bare)
-        if digits > letters or _KEY.match(bare):
+        if len("".join(_DIGITS.findall(bare))) > len("".join(_LETTERS.findall(bare))) or _KEY.match(bare):
             yield "log", bare
             continue
         if _CODE.search(bare) and not _STOP.search(bare.rstrip(";:")):
@@ -139,6 +138,16 @@ def _share(top: int, words: int) -> float:
     return top / words if words else 0.0
 
 
+def _phrase(words: list[str], count: Counter, k: int) -> float:
+    """Share of the words that the most common run of k covers; 0 where it stays below PHRASE."""
+    least = max(PHRASE_TIMES, PHRASE * len(words) / k)
+    often = {w for w, c in count.items() if c >= least}  # all words of such a run are as common
+    if not often:
+        return 0.0
+    runs = Counter(t for t in zip(*(words[i:] for i in range(k))) if often.issuperset(t)).most_common(1)
+    return _share(k * runs[0][1], len(words)) if runs and runs[0][1] >= least else 0.0
+
+
 def features(text: str) -> dict:
     """Numbers of one document; texts without words have zeros and the language ``und``.
 
@@ -174,13 +183,10 @@ def features(text: str) -> dict:
     for name, words, t in (("loose", loose_words, loose_text), ("sentence", said_words, said_text)):
         hits, n = grammar(words, t)
         out[f"{name}_words"], out[f"{name}_grammar"] = n, _share(hits, n)
-        out[f"{name}_top"] = _share(sum(c for _, c in Counter(words).most_common(TOP_WORDS)), len(words))
-        out[f"{name}_distinct"] = _share(len(set(words)), len(words))
-        out[f"{name}_phrase"] = 0.0
-        for k in (2, 3):
-            often = Counter(zip(*(words[i:] for i in range(k)))).most_common(1)
-            if often and often[0][1] >= PHRASE_TIMES:
-                out[f"{name}_phrase"] = max(out[f"{name}_phrase"], _share(k * often[0][1], len(words)))
+        count = Counter(words)
+        out[f"{name}_top"] = _share(sum(c for _, c in count.most_common(TOP_WORDS)), len(words))
+        out[f"{name}_distinct"] = _share(len(count), len(words))
+        out[f"{name}_phrase"] = max(_phrase(words, count, 2), _phrase(words, count, 3))
     return out
 
 
