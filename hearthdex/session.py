@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -48,14 +49,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{at}"
 
 
+_homes: set[str] = set()
+
+
+def _remove(folder, configuration) -> None:
+    """Best effort: the driver's JVM may have gone first."""
+    try:
+        folder.getFileSystem(configuration).delete(folder, True)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     Used to cut lineage or to read an expensive result twice. The files are in
-    the shared folder, so a lost executor costs nothing but its running tasks.
+    the shared folder, so a lost executor costs nothing but its running tasks. They lie in
+    a folder of the application, which is removed when the driver ends.
     """
     spark = df.sparkSession
-    at = f"{shared_folder(spark)}/hearthdex/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_folder(spark)}/hearthdex-{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_remove, spark._jvm.org.apache.hadoop.fs.Path(home), spark._jsc.hadoopConfiguration())
+    at = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
