@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -62,6 +62,8 @@ TOP_SHARE, DISTINCT = 0.45, 0.45
 #: Share of the words that the most common pair or triple of words covers in stuffed text,
 #: how often it must come, and the part of the usual grammar below which sentences may be so.
 PHRASE, PHRASE_TIMES, PHRASE_GRAMMAR = 0.3, 4, 0.8
+#: Words of a key phrase, at most.
+LONGEST = 5
 #: Part of the characters from which a page counts.
 MOST = 0.5
 
@@ -148,6 +150,31 @@ def _phrase(words: list[str], count: Counter, k: int) -> float:
     return _share(k * runs[0][1], len(words)) if runs and runs[0][1] >= least else 0.0
 
 
+def _key_phrase(words: list[str], count: Counter, function: frozenset[str]) -> tuple[float, list[str]]:
+    """``share, others``: share of the words that the key phrase covers, and the words outside it.
+
+    The key phrase is the run of 2 to LONGEST that covers most among those as common as :func:`_phrase`
+    asks for, which begin and end in no function word. Without one all words are outside.
+    """
+    often = {w: c for w, c in count.items() if c >= max(PHRASE_TIMES, PHRASE * len(words) / LONGEST)}
+    if function.issuperset(often):
+        return 0.0, words
+    best, size, phrase = 0, 0, ()
+    for k in range(2, LONGEST + 1):
+        least = max(PHRASE_TIMES, PHRASE * len(words) / k)
+        runs = Counter(t for t in zip(*(words[i:] for i in range(k))) if t[0] in often and t[0] not in function and t[-1] not in function and all(w in often for w in t)).most_common(1)
+        if runs and runs[0][1] >= least and runs[0][1] * k > best:
+            best, size, phrase = runs[0][1] * k, k, runs[0][0]
+    others, i, inside = [], 0, 0
+    while i < len(words):
+        if size and tuple(words[i : i + size]) == phrase:
+            i, inside = i + size, inside + size
+        else:
+            others.append(words[i])
+            i += 1
+    return _share(inside, len(words)), others
+
+
 def features(text: str) -> dict:
     """Numbers of one document; texts without words have zeros and the language ``und``.
 
@@ -187,13 +214,20 @@ def features(text: str) -> dict:
         out[f"{name}_top"] = _share(sum(c for _, c in count.most_common(TOP_WORDS)), len(words))
         out[f"{name}_distinct"] = _share(len(count), len(words))
         out[f"{name}_phrase"] = max(_phrase(words, count, 2), _phrase(words, count, 3))
+        # function words inside a key phrase are no sign of running text; signs are no words, and a
+        # sentence that comes again as a whole is no key phrase
+        key, others = 0.0, words
+        if language in _SETS and words:
+            once = _WORD.findall(" ".join(dict.fromkeys(x.lower() for x in (loose if name == "loose" else said)))) if out["repeated_lines"] else words
+            key, others = _key_phrase(once, Counter(once) if once is not words else count, _SETS[language])
+        out[f"{name}_key"], out[f"{name}_outside"] = key, _share(*grammar(others, t)) if key else out[f"{name}_grammar"]
     return out
 
 
 _COLUMNS = ", ".join(
     [f"{k} long" for k in KINDS]
     + ["language string", "lines long", "repeated_lines long"]
-    + [f"{n}_{k}" for n in ("loose", "sentence") for k in ("words long", "grammar double", "top double", "distinct double", "phrase double")]
+    + [f"{n}_{k}" for n in ("loose", "sentence") for k in ("words long", "grammar double", "top double", "distinct double", "phrase double", "key double", "outside double")]
 )
 
 
@@ -231,6 +265,8 @@ def stuffed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     stuffed_said = (F.col("sentence_words") >= LEAST_WORDS) & (
         ((F.col("sentence_grammar") < F.col("usual") * GRAMMAR) & (F.col("sentence_top") >= TOP_SHARE) & (F.col("sentence_distinct") <= DISTINCT))
         | ((F.col("sentence_phrase") >= PHRASE) & (F.col("sentence_grammar") < F.col("usual") * PHRASE_GRAMMAR))
+        | ((F.col("sentence_key") >= PHRASE) & (F.col("sentence_outside") < F.col("usual") * PHRASE_GRAMMAR))
+        | ((F.col("sentence_key") >= MOST) & (F.col("sentence_outside") < F.col("usual")))
     )
     words = F.when(stuffed_loose, F.col("loose")).otherwise(0) + F.when(stuffed_said, F.col("sentence")).otherwise(0)
     total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))

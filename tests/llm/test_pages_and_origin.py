@@ -130,3 +130,18 @@ def test_known_copies_of_nothing(spark):
     files = spark.createDataFrame([], "repo string, path string, text string")
     signs = spark.createDataFrame([], "repo string, path string, drawn array<long>")
     assert known_copies(files, signs, spark.createDataFrame([("x",)], "text string")).count() == 0
+
+
+def spanish(phrase, n=24, seed=1):
+    rng = random.Random(seed)
+    more = ["gratis", "en línea", "para equipos", "sin registro", "opiniones", "comprar", "mejor", "precio", "para linux", "barato"]
+    return " ".join(f"{rng.choice(more[:1] + more[4:8]).capitalize()} {phrase} {rng.choice(more)} {phrase} {rng.choice(more)} {phrase} {rng.choice(more)}." for _ in range(n))
+
+
+def test_key_phrases_that_hold_function_words(spark):
+    prose = "El índice guarda archivos nuevos, servicio lee huella distinta otra vez cuando hay cambios en la lista actual. "
+    pages = {f"page {i}": prose * 8 + f"Hay {i} nodos en la lista." for i in range(6)}
+    german = "Bitte prüfen Sie den Zeiger, bevor Sie den Vektor löschen. Bitte prüfen Sie den Treffer, bevor Sie den Index löschen."
+    spam = {"three": spanish("software de índice"), "five": spanish("motor de búsqueda de código"), "led in": prose + spanish("software de índice")}
+    df = spark.createDataFrame([*pages.items(), *spam.items(), ("german", german)], "doc_id string, text string")
+    assert {r["doc_id"]: r["kind"] for r in stuffed(df).collect()} == dict.fromkeys(spam, "keywords")
