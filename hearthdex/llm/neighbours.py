@@ -1,6 +1,6 @@
 """The k most similar vectors of every vector, by pruned graphs over shards.
 
-Equal vectors form a class that stands in the graph once and keeps its k + 1 smallest
+Vectors of one direction, whatever their length, form a class that stands in the graph once and keeps its k + 1 smallest
 ids. Classes go to the shard of their nearest centre (k-means on a bounded sample); a
 shard too large for one task is dealt out over several. Each class then searches the graphs
 of its ``probes`` nearest centres by beam search; what they propose is scored afresh in
@@ -30,6 +30,8 @@ PROBES = 4
 #: and nodes of which the nearest begins a search in another shard.
 DEGREE, BEAM, BEAM_AWAY, ALPHA, ENTRIES = 24, 40, 32, 1.2, 64
 DIGITS = 6
+#: Digits of the unit vectors by which vectors have one direction: as fine as the scores.
+WAY_DIGITS = 6
 
 
 def usable(vector: Column, width: int) -> Column:
@@ -42,6 +44,17 @@ def usable(vector: Column, width: int) -> Column:
     )
 
 
+def direction(vector: Column) -> Column:
+    """The unit vector in whole steps of 10^-WAY_DIGITS; -0.0 and 0.0 are one value.
+
+    Multiples of a vector differ in their last bits only, so few of them fall beside a step's edge.
+    """
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # in an array of one the length is computed once a row
+    steps = F.transform(F.array(length), lambda n: F.transform(vector, lambda x: F.rint(x.cast("double") / n * F.lit(10.0**WAY_DIGITS)).cast("int")))
+    return steps[0]
+
+
 def _units(vectors: np.ndarray) -> np.ndarray:
     """Rows of unit length in double precision, whatever their scale."""
     v = vectors.astype(np.float64)
@@ -62,16 +75,16 @@ def classes(df: DataFrame, key: str, vector: str, width: int, k: int) -> tuple[D
     rows = (
         df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
         .where(F.col("id").isNotNull() & usable(F.col("vector"), width))
-        # -0.0 and 0.0 are one value
-        .withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
-        .withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit("second"), "vector")})
+        .withColumn("way", direction(F.col("vector")))
+        .withColumns({"h1": F.xxhash64("way"), "h2": F.xxhash64(F.lit("second"), "way")})
+        .drop("way")
     )
     # a repeated id keeps one vector, the one of the smaller hash
     one = rows.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
     first = one.withColumn("rank", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).where(F.col("rank") <= k + 1)
     ids = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     size = one.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    vectors = rows.groupBy("h1", "h2").agg(F.any_value("vector").alias("vector"))
+    vectors = rows.groupBy("h1", "h2").agg(F.min("vector").alias("vector"))
     all_ = (
         vectors.join(ids, ["h1", "h2"]).join(size, ["h1", "h2"])
         .select(F.col("ids")[0].alias("class"), "n", "ids", "vector", "h1", "h2")
@@ -98,7 +111,7 @@ def _search_shard(width: int, k: int, degree: int, beam: int, alpha: float):
         inside = pdf[pdf["inside"]]
         asking = pdf[pdf["asking"]]
         if not len(inside) or not len(asking):
-            return pd.DataFrame({"class": [], "scores": [], "ids": []})
+            return pd.DataFrame({"class": [], "scores": [], "ids": []}, dtype=object)
         base, q = _units(_stack(inside["vector"], width)), _units(_stack(asking["vector"], width))
         graph = Graph(base, degree, beam, alpha)
         names, ids = inside["class"].to_numpy(), inside["ids"].to_numpy()

@@ -97,3 +97,15 @@ def test_few_or_no_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, "c"), (2, [0.0, 1.0], 1, "c")], SCHEMA)
     assert sorted(tuple(r) for r in neighbours(df, width=2).collect()) == [(1, 2, 0.0), (2, 1, 0.0)]
     assert neighbours(df.limit(1), width=2).count() == 0 and neighbours(df.limit(0), width=2).count() == 0
+
+
+def test_hot_group_of_scaled_copies(spark):
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=64).astype(np.float32)
+    rows = [(2 * i, (hot * np.float32(s)).tolist()) for i, s in enumerate(rng.uniform(0.01, 90, 2000))]
+    rows += [(2 * i + 1, x.tolist()) for i, x in enumerate(clusters(1000, 4, 64))] + [(5001, (hot + 0.4 * rng.normal(size=64)).astype(np.float32).tolist())]
+    df = spark.createDataFrame([(i, x, 1, "c") for i, x in rows], SCHEMA).repartition(3)
+    got, want = collect(neighbours(df, shard=300)), brute(rows, 10)
+    assert got.keys() == want.keys()
+    assert all(got[2 * i] == want[2 * i] for i in range(2000))
+    assert got[5001] == want[5001] and recall(got, want) > 0.9
