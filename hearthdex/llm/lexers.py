@@ -308,6 +308,8 @@ def rust_tokens(text: str) -> tuple[Tokens, list[int]]:
                 doc = doc or (text.startswith("/**", start) and not text.startswith(("/***", "/**/"), start))
                 at = end
                 continue
+            if text[at] in "<=>|" and (at == 0 or text[at - 1] == "\n") and _MARKER.match(text, at):
+                raise Broken(at)  # the grammar skips what macros are given
             if kind == "name":
                 word = m[0]
                 if word == "_":

@@ -6,6 +6,7 @@ import ast
 import glob
 import os
 import random
+import re
 import warnings
 
 import pytest
@@ -120,3 +121,9 @@ def test_rows(spark):
     assert {(r["path"], r["line"] > 0) for r in parsed_files(df).collect()} == {("a.py", False), ("b.py", True), ("d.ts", False), ("e.rs", False)}
     assert {tuple(r) for r in invalid_rates(df).collect()} == {("r", "python", 2, 1, 0.5), ("s", "typescript", 1, 0, 0.0), ("s", "rust", 1, 0, 0.0)}
     assert invalid_files(df.limit(0)).count() == 0
+
+
+def test_markers_inside_rust_macros():
+    for source in ("fn f() { vec![\n<<<<<<< HEAD\n1\n=======\n2\n>>>>>>> a\n]; }\n", "macro_rules! m {\n() => {\n||||||| a\n};\n}\n"):
+        assert language("rust").error(source) == re.search("^[<|]", source, re.M).start()
+    assert language("rust").error('fn f() { m!(r"\n<<<<<<< HEAD\n", a\n/*\n=======\n*/ << 1); }\n') < 0
