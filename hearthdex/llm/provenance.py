@@ -90,7 +90,7 @@ def in_third_party(path: str) -> bool:
 def leading_comment(text: str) -> str:
     """The comment lines before the first line of code."""
     out, inside = [], False
-    for line in text.lstrip("﻿").split("\n", 40)[:40]:
+    for line in text.lstrip("﻿").split("\n"):
         bare = line.strip()
         if inside or bare.startswith("/*") or bare.startswith("<!--"):
             inside = "*/" not in bare and "-->" not in bare

@@ -145,3 +145,8 @@ def test_key_phrases_that_hold_function_words(spark):
     spam = {"three": spanish("software de índice"), "five": spanish("motor de búsqueda de código"), "led in": prose + spanish("software de índice")}
     df = spark.createDataFrame([*pages.items(), *spam.items(), ("german", german)], "doc_id string, text string")
     assert {r["doc_id"]: r["kind"] for r in stuffed(df).collect()} == dict.fromkeys(spam, "keywords")
+
+
+def test_marks_below_a_long_licence():
+    text = "/*\n" + " * Permission is granted to use the parts.\n" * 60 + " */\n// @generated by y\n" + HAND
+    assert says_generated(text) and verdict("x.rs", text) == "generated" and not says_generated(HAND + text)
