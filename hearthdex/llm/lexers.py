@@ -398,6 +398,7 @@ _JS_KIND = {
     **dict.fromkeys(("**=", "<<=", "&&=", "||=", "??=", "+=", "-=", "*=", "%=", "&=", "|=", "^=", "/="), "ASSIGN"),
 }
 _JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\\\]\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
+_JS_LINE = re.compile(r"[^\r\n\u2028\u2029]*")
 _JS_PAIR = {"(": ")", "[": "]", "{": "}"}
 _JS_OPERAND_END = frozenset({"IDENT", "NUMBER", "STRING", "REGEX", "TEND", "JEND", "PRIVATE", ")", "]", "}", "++", "--"})
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$-]*(?::[A-Za-z_$][\w$-]*)?(?:\.[A-Za-z_$][\w$-]*)*")
@@ -408,8 +409,8 @@ _MARKER = re.compile(r"^(?:<{7}|={7}|>{7}|\|{7})(?:[ \r\n]|$)", re.M)
 
 
 class _Ecma:
-    def __init__(self, text: str, typed: bool, jsx: bool, regex_after: frozenset = frozenset()):
-        self.text, self.typed, self.jsx = text, typed, jsx
+    def __init__(self, text: str, typed: bool, jsx: bool, regex_after: frozenset = frozenset(), html: bool = False):
+        self.text, self.typed, self.jsx, self.html = text, typed, jsx, html
         self.out = Tokens()
         self.partner: list[int] = []
         self.ends = _JS_OPERAND_END - regex_after
@@ -438,12 +439,12 @@ class _Ecma:
         return at
 
     def tokens(self, at: int, closer: str) -> int:
-        """Up to the end, or behind the bracket that closes what ``closer`` names (TCLOSE, JCLOSE)."""
+        """Up to the end, or behind the bracket that closes what ``closer`` names (TCLOSE, JCLOSE, JTEND)."""
         text, out, partner = self.text, self.out, self.partner
         kinds, places, before = out.kinds, out.places, out.before
         match, n = _JS.match, len(text)
         stack: list[int] = []
-        line = not kinds
+        line, angles = not kinds, 1
         while at < n:
             m = match(text, at)
             if m is None:
@@ -465,7 +466,15 @@ class _Ecma:
             elif group == "op":
                 word = m[0]
                 kind = _JS_KIND.get(word, word)
-                if word == "<" or word == "<<":
+                if closer == "JTEND" and word in ("<", ">") and not stack:
+                    angles += 1 if word == "<" else -1
+                    if not angles:
+                        self.add(closer, at)
+                        return end
+                elif self.html and (text.startswith("<!--", at) or line and text.startswith("-->", at)):
+                    at = _JS_LINE.match(text, at).end()
+                    continue
+                elif word == "<" or word == "<<":
                     if self.jsx and not self.operand_before() and word == "<" and self.element_at(at):
                         self.add("JSX", at, line)
                         line = False
@@ -478,7 +487,7 @@ class _Ecma:
                     stack.append(len(kinds))
                 elif word in ")]}":
                     if not stack:
-                        if word == "}" and closer:
+                        if word == "}" and closer and closer != "JTEND":
                             self.add(closer, at, line)
                             return end
                         raise Broken(at)
@@ -567,6 +576,9 @@ class _Ecma:
             if not m:
                 raise Broken(at)
             name, at = m[0], m.end()
+            if self.typed and text.startswith("<", at):
+                self.add("JTYPES", at)
+                at = self.tokens(at + 1, "JTEND")
             while True:
                 at = _JSX_SPACE.match(text, at).end()
                 if at >= n:
@@ -624,12 +636,12 @@ class _Ecma:
         raise Broken(n)
 
 
-def ecma_tokens(text: str, typed: bool, jsx: bool, regex_after: frozenset = frozenset()) -> tuple[Tokens, list[int], bool]:
-    """Tokens, partners of brackets, and whether a slash might have been read the other way."""
-    x = _Ecma(text, typed, jsx, regex_after)
+def ecma_tokens(text: str, typed: bool, jsx: bool, regex_after: frozenset = frozenset(), html: bool = False) -> tuple[Tokens, list[int], bool]:
+    """Tokens, partners of brackets, and whether a slash might have been read the other way; ``html`` allows ``<!--`` and ``-->``."""
+    x = _Ecma(text, typed, jsx, regex_after, html)
     try:
         x.run()
-    except (Broken, RecursionError) as e:
-        x.add("BAD", e.place if isinstance(e, Broken) else len(text), True)
+    except Broken as e:
+        x.add("BAD", e.place, True)
         x.add("EOF", len(text), True)
     return x.out, x.partner, x.doubtful

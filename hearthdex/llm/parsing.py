@@ -1,29 +1,53 @@
-"""Parsers from grammar texts: prediction tables, ordered alternatives, a chart of results.
+"""Chart parsers from grammar texts: prediction tables, ordered alternatives, a chart of results.
 
 A grammar text has rules ``name = expression`` (a rule ends where the next begins; ``#``
 starts a comment). Expressions know ``'token'`` and ``NAME`` (kinds of tokens), ``rule``,
-``a b``, ``a / b`` (ordered), ``a? a* a+``, ``&a !a`` and brackets; ``@rule`` marks rules that keep their
-results by position (the chart), ``%native`` calls a predicate given to the compiler, whose
-attribute ``first`` may name the tokens that it begins with.
+``a b``, ``a / b`` (ordered), ``a? a* a+``, ``&a !a`` and brackets; ``%native`` calls a predicate given
+to the compiler, whose attribute ``first`` may name the tokens that it begins with.
+
+The chart holds, by rule and position, where the rule ends or that it can't stand there. ``@rule``
+marks the rules with a column in it, ``@@rule`` those of them after whose end a chart that has grown large is
+emptied, but for the columns of such rules. A grammar in which a rule can contain itself
+without passing a marked rule is refused. So two alternatives that meet the same thing at the same
+place parse it once, and time grows with the number of tokens, however deep they are
+nested. Ends that are one or two tokens away aren't kept: all longer results below them are.
 Sets of first tokens are computed for every expression and compiled into the tests
 that choose an alternative, so few alternatives are ever tried; a parse consumes the
-whole token stream. The compiled functions are closures over one token list.
+whole token stream. The compiled functions are closures over one token list. They call
+nothing but each other and the natives, so depth costs frames on the heap, no native stack.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+
+_TOKEN = re.compile(r"\s+|#[^\n]*|(?P<rule>@{0,2}[a-z_][\w]*)(?=\s*=(?!=))|(?P<str>'[^']+')|(?P<name>%?[A-Za-z_]\w*)|(?P<op>[=/?*+&!()])")
+
+
+#: Results in a chart from which it is emptied behind a marked rule.
+LARGE = 50_000
+
 
-_TOKEN = re.compile(r"\s+|#[^\n]*|(?P<rule>@?[a-z_][\w]*)(?=\s*=(?!=))|(?P<str>'[^']+')|(?P<name>%?[A-Za-z_]\w*)|(?P<op>[=/?*+&!()])")
+@contextmanager
+def depth(frames: int) -> Iterator[None]:
+    """Room for so many calls more of Python functions, whose frames lie on the heap."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(min(before + frames, 2**31 - 1))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 class GrammarError(ValueError):
     pass
 
 
-def read_grammar(text: str) -> tuple[dict[str, tuple], set[str]]:
-    """Rules as nested tuples, and the names of the rules with a chart."""
+def read_grammar(text: str) -> tuple[dict[str, tuple], dict[str, int]]:
+    """Rules as nested tuples, and how many marks a marked rule has."""
     tokens: list[tuple[str, str]] = []
     at = 0
     while at < len(text):
@@ -34,7 +58,7 @@ def read_grammar(text: str) -> tuple[dict[str, tuple], set[str]]:
         if m.lastgroup:
             tokens.append((m.lastgroup, m[m.lastgroup]))
     rules: dict[str, tuple] = {}
-    charted: set[str] = set()
+    marked: dict[str, int] = {}
     i = 0
 
     def choice() -> tuple:
@@ -81,12 +105,33 @@ def read_grammar(text: str) -> tuple[dict[str, tuple], set[str]]:
             raise GrammarError(f"a rule should begin at {value!r}")
         name = value.lstrip("@")
         if value[0] == "@":
-            charted.add(name)
+            marked[name] = value.count("@")
         if name in rules:
             raise GrammarError(f"two rules {name!r}")
         i += 2
         rules[name] = choice()
-    return rules, charted
+    return rules, marked
+
+
+def _named(x: tuple) -> list[str]:
+    """Rules that an expression names, once for each place."""
+    if x[0] == "n":
+        return [x[1]]
+    return [r for y in x[1:] if isinstance(y, tuple) for r in _named(y)]
+
+
+def unmarked_cycle(rules: dict[str, tuple], marked: Iterable[str]) -> str | None:
+    """A rule that can contain itself without passing a marked one, if there is any."""
+    below = {name: set(_named(body)).difference(marked) for name, body in rules.items()}
+    changed = True
+    while changed:
+        changed = False
+        for name, some in below.items():
+            more = some.union(*(below[r] for r in some if r in below))
+            if len(more) > len(some):
+                below[name] = more
+                changed = True
+    return next((name for name in rules if name in below[name]), None)
 
 
 class Parser:
@@ -96,7 +141,10 @@ class Parser:
     """
 
     def __init__(self, text: str, start: str, natives: dict[str, Callable] | None = None):
-        self.rules, self.charted = read_grammar(text)
+        self.rules, self.marked = read_grammar(text)
+        self.charted = list(self.marked)
+        if name := unmarked_cycle(self.rules, self.marked):
+            raise GrammarError(f"{name!r} contains itself without a column in the chart")
         self.natives = natives or {}
         self.start = start
         self._first()
@@ -246,6 +294,7 @@ class Parser:
                 raise GrammarError(kind)
 
         body_at = len(lines)
+        passing = [c for c in self.charted if self.marked[c] == 1]
         for name, body in self.rules.items():
             lines.append(f" def r_{name}(p):")
             if name in self.charted:
@@ -253,13 +302,16 @@ class Parser:
                 lines.append("  if r is not None: return r")
             emit(body, "p", "r", "  ")
             if name in self.charted:
-                lines.append(f"  m_{name}[p] = r")
+                lines.append(f"  if r < 0 or r - p > 2: m_{name}[p] = r")
+            if self.marked.get(name) == 2 and passing:
+                lines.append(f"  if {' + '.join(f'len(m_{c})' for c in passing)} > {LARGE}:")
+                lines.append("   " + "; ".join(f"m_{c}.clear()" for c in passing))
             lines.append("  return r")
         head = [f" {v} = frozenset({sorted(k)!r})" for k, v in sets.items()]
-        head += [f" m_{c} = {{}}" for c in sorted(self.charted)]
+        head += [f" m_{c} = {{}}" for c in self.charted]
         head += [f" n_{n} = natives[{n!r}]" for n in self.natives]
         lines[body_at:body_at] = head
-        lines.append(f" return r_{self.start}, [{', '.join(f'm_{c}' for c in sorted(self.charted))}]")
+        lines.append(f" return r_{self.start}, [{', '.join(f'm_{c}' for c in self.charted)}]")
         space: dict = {}
         exec(compile("\n".join(lines), f"<grammar {self.start}>", "exec"), space)  # noqa: S102
         kinds: list[str] = []
@@ -272,9 +324,10 @@ class Parser:
         start, charts, k, b, far = compiled
         k[:], b[:] = kinds, before
         far[0] = 0
+        with depth(len(self.rules) * (len(kinds) + 1)):  # as deep as the tokens may be nested
+            end = start(0)
         for c in charts:
             c.clear()
-        end = start(0)
         return end == len(kinds), max(far[0], end)
 
     def parse(self, kinds: list[str], before: list[bool]) -> int:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from functools import cache
 from importlib.resources import files
@@ -13,10 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from hearthdex.functions.paths import LANGUAGE_BY_EXTENSION, language_of
 from hearthdex.llm import lexers
 from hearthdex.operators.files import current_files
-from hearthdex.llm.parsing import Parser
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-
+from hearthdex.llm.parsing import Parser, depth
 
 def _grammar(name: str) -> str:
     return files("hearthdex.llm.grammars").joinpath(f"{name}.gram").read_text(encoding="utf-8")
@@ -58,10 +54,7 @@ class Python(Language):
             return text[start:end]
 
         self._now["at"] = at
-        try:
-            p = self.parser.parse(tokens.kinds, tokens.before)
-        except RecursionError:
-            return n
+        p = self.parser.parse(tokens.kinds, tokens.before)
         return -1 if p < 0 else tokens.places[p]
 
 
@@ -103,10 +96,7 @@ class Rust(Language):
         if tokens.kinds[-2:-1] == ["BAD"]:
             return tokens.places[-2]
         self._now |= {"text": text, "places": tokens.places}
-        try:
-            p = self.parser.parse(tokens.kinds, partner)
-        except RecursionError:
-            return len(text)
+        p = self.parser.parse(tokens.kinds, partner)
         return -1 if p < 0 else tokens.places[p]
 
 
@@ -144,7 +134,7 @@ class Ecma(Language):
         self.typed, self.jsx = typed, jsx
         mine, other = ("ts|", "js|") if typed else ("js|", "ts|")
         lines = [x.removeprefix(mine) for x in _grammar("ecma").splitlines() if not x.startswith(other)]
-        now = self._now = {"partner": []}
+        now = self._now = {"partner": [], "awaits": None}
 
         def semi(kinds: list[str], before: list[bool], p: int) -> int:
             kind = kinds[p]
@@ -167,9 +157,18 @@ class Ecma(Language):
         def require(kinds: list[str], before: list[bool], p: int) -> int:
             return p + 1 if kinds[p] == "require" else -1
 
-        require.first = {"require"}
+        def await_name(kinds: list[str], before: list[bool], p: int) -> int:
+            """``await`` as a name: in a script, outside async functions."""
+            if kinds[p] != "await":
+                return -1
+            if now["awaits"] is None:
+                now["awaits"] = [(0, len(kinds), True)] if module(kinds) else awaiting(kinds, now["partner"])
+            around = [asynchronous for a, b, asynchronous in now["awaits"] if a <= p <= b]
+            return -1 if around and around[-1] else p + 1
+
+        require.first, await_name.first = {"require"}, {"await"}
         natives = {
-            "semi": semi, "same": same, "arrow_ahead": arrow_ahead, "target": target, "never": lambda kinds, before, p: -1,
+            "semi": semi, "same": same, "arrow_ahead": arrow_ahead, "target": target, "never": lambda kinds, before, p: -1, "await_name": await_name,
         }
         if typed:
             natives |= {
@@ -181,26 +180,53 @@ class Ecma(Language):
 
     def error(self, text: str) -> int:
         first = -1
-        for after in (frozenset(), frozenset({"}"}), frozenset({")", "}"})):
-            tokens, partner, doubtful = lexers.ecma_tokens(text, self.typed, self.jsx, after)
-            if tokens.kinds[-2:-1] == ["BAD"]:
-                place = tokens.places[-2]
-            else:
-                self._now["partner"] = partner
-                try:
+        # a script may hold the comments of HTML, which are operators in a module
+        for html in (False, True) if not self.typed and ("<!--" in text or "-->" in text) else (False,):
+            for after in (frozenset(), frozenset({"}"}), frozenset({")", "}"})):
+                tokens, partner, doubtful = lexers.ecma_tokens(text, self.typed, self.jsx, after, html)
+                if tokens.kinds[-2:-1] == ["BAD"]:
+                    place = tokens.places[-2]
+                elif html and module(tokens.kinds):
+                    break
+                else:
+                    self._now |= {"partner": partner, "awaits": None}
                     p = self.parser.parse(tokens.kinds, tokens.before)
-                except RecursionError:
-                    return len(text)
-                if p < 0:
-                    marker = lexers._MARKER.search(text)
-                    return -1 if marker is None or marker.start() not in set(tokens.places) else marker.start()
-                place = tokens.places[p]
-            first = place if first < 0 else first
-            if not doubtful:
-                break
+                    if p < 0:
+                        marker = lexers._MARKER.search(text)
+                        return -1 if marker is None or marker.start() not in set(tokens.places) else marker.start()
+                    place = tokens.places[p]
+                first = place if first < 0 else first
+                if not doubtful:
+                    break
         return first
 
 
+def module(kinds: list[str]) -> bool:
+    """Whether a file exports something or imports by a declaration."""
+    return any(k == "export" or k == "import" and kinds[i + 1] not in ("(", ".") for i, k in enumerate(kinds))
+
+
+def awaiting(kinds: list[str], partner: list[int]) -> list[tuple[int, int, bool]]:
+    """``first, last, async`` of the tokens of each function's body, outer ones first."""
+    opening = {c: o for o, c in enumerate(partner) if c >= 0}
+    out = []
+    for i, k in enumerate(kinds):
+        if k == "=>":
+            start = opening[i - 1] if kinds[i - 1] == ")" else i - 1
+            end = i + 1
+            while kinds[end] not in (",", ";", ")", "]", "}", "EOF"):
+                end = max(end, partner[end]) + 1
+            out.append((i + 1, partner[i + 1] if kinds[i + 1] == "{" else end, kinds[start - 1] == "async"))
+        elif k == "function" or k == "async" and kinds[i + 1] not in ("function", "=>"):
+            at = i + 1
+            while kinds[at] not in ("(", "EOF", ";", "="):
+                at += 1
+            body = partner[at] + 1 if kinds[at] == "(" else 0
+            if kinds[body] == "{" and body:
+                out.append((body, partner[body], k == "async" or kinds[i - 1] == "async"))
+    return sorted(out)
+
+
 LANGUAGES = {
     "python": Python,
     "rust": Rust,
@@ -220,7 +246,8 @@ def first_error(path: str, text: str) -> tuple[str, int] | None:
     name = LANGUAGE_BY_EXTENSION.get(path.rsplit("/", 1)[-1].rpartition(".")[2]) if "." in path else None
     if name is None:
         return None
-    place = language(name).error(text)
+    with depth(4 * len(text)):  # strings and elements nest in the lexers
+        place = language(name).error(text)
     return None if place < 0 else (name, 1 + text.count("\n", 0, place))
 
 
@@ -234,8 +261,7 @@ def parsed_files(chunks: DataFrame) -> DataFrame:
     """``repo, path, language, line`` of each file with a grammar; ``line`` is that of the first error, else 0.
 
     The language is that of the path's extension; files of other extensions have no row.
-    Whole current texts are parsed. An empty text is valid; nesting beyond the parser's
-    depth counts as an error.
+    Whole current texts are parsed, however deep they are nested. An empty text is valid.
     """
     rows = chunks.select("repo", "path", "chunk_index", "text", "indexed_at").where(language_of(F.col("path")).isNotNull())
     return (
