@@ -2,7 +2,9 @@
 
 A node's edges are what a greedy search for it met, pruned: a candidate is dropped
 when a kept, closer neighbour is nearer to it by the factor ``alpha``, so kept edges
-point in diverse directions. Searches keep a beam of the best nodes met and expand
+point in diverse directions; where they leave room, the nearest of the dropped fill it up to
+``fill`` edges, so that tight groups stay linked. A search begins at the nearest of some
+nodes drawn at random, so none depends on a path from one entry. Searches keep a beam of the best nodes met and expand
 several of them at once; many searches run side by side in NumPy.
 """
 
@@ -16,29 +18,30 @@ FAR = np.float32(9.0)
 class Graph:
     """Graph of one shard. ``vectors`` are float32 rows of unit length."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.2, width: int = 4, seed: int = 7):
+    def __init__(
+        self, vectors: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.2, width: int = 4, seed: int = 7, fill: int = 16, entries: int = 512
+    ):
         self.v = np.ascontiguousarray(vectors, dtype=np.float32)
         self.n = len(self.v)
-        self.degree, self.beam, self.alpha, self.width = degree, beam, np.float32(alpha), width
+        self.degree, self.beam, self.alpha, self.width, self.fill = degree, beam, np.float32(alpha), width, min(fill, degree)
         self.slack = degree + degree // 2
         self.edges = np.full((self.n, self.slack), -1, dtype=np.int32)
         self.filled = np.zeros(self.n, dtype=np.int32)
-        self.entry = 0
+        order = np.random.default_rng(seed).permutation(self.n).astype(np.int32)
+        self.entries = order[:entries]
         if self.n:
-            self._build(np.random.default_rng(seed).permutation(self.n).astype(np.int32))
+            self._build(order)
 
     # building
 
     def _build(self, order: np.ndarray) -> None:
-        centre = self.v.mean(axis=0)
         first = order[: min(self.n, 4 * self.beam)]
-        self.entry = int(first[np.argmax(self.v[first] @ centre)])
         near = np.argsort(-(self.v[first] @ self.v[first].T), axis=1)[:, : 2 * self.degree + 1].astype(np.int32)
         self._link(first, first[near])
         done = len(first)
         while done < self.n:
             batch = order[done : done + min(max(done, 64), 1024)]
-            found, _ = self.search(self.v[batch])
+            found, _ = self.search(self.v[batch], self.starts(self.v[batch], self.entries[:done]))
             self._link(batch, found)
             done += len(batch)
 
@@ -85,8 +88,13 @@ class Graph:
         c = np.take_along_axis(c, order, axis=1)
         x = np.take_along_axis(x, order[:, :, None], axis=1)
         between = (1 - np.matmul(x, x.transpose(0, 2, 1))) * self.alpha
-        alive = far < FAR
-        # a node met twice stands beside itself and must go even at equal distance
+        # a node met twice counts once
+        by_id = np.argsort(c, axis=1, kind="stable")
+        same = np.take_along_axis(c, by_id, axis=1)
+        again = np.zeros(c.shape, dtype=bool)
+        np.put_along_axis(again, by_id[:, 1:], same[:, 1:] == same[:, :-1], axis=1)
+        left = (far < FAR) & ~again
+        alive = left.copy()
         out = np.full((len(nodes), self.degree), -1, dtype=np.int32)
         rows = np.arange(len(nodes))
         for k in range(self.degree):
@@ -95,33 +103,53 @@ class Graph:
             if not live.any():
                 break
             out[live, k] = c[rows[live], pick[live]]
+            left[rows[live], pick[live]] = False
             alive &= between[rows, pick] > far
             alive[rows, pick] = False
+        have = (out >= 0).sum(axis=1)
+        rank = np.cumsum(left, axis=1)
+        row, col = np.nonzero(left & (rank <= (self.fill - have)[:, None]))
+        out[row, have[row] + rank[row, col] - 1] = c[row, col]
         return out
 
     # searching
 
+    def starts(self, queries: np.ndarray, entries: np.ndarray | None = None, k: int = 4) -> np.ndarray:
+        """The k nearest of the entries to each query."""
+        entries = self.entries if entries is None else entries
+        k = min(k, len(entries))
+        return entries[np.argpartition(-(queries @ self.v[entries].T), k - 1, axis=1)[:, :k]]
+
     def search(self, queries: np.ndarray, starts: np.ndarray | None = None, beam: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances (1 - cosine) of the beam of each query, nearest first; -1 fills up."""
+        """Ids and distances (1 - cosine) of the beam of each query, nearest first; -1 fills up.
+
+        ``starts`` has one or more nodes a query; without it they are the nearest entries.
+        """
+        starts = self.starts(queries) if starts is None else starts.reshape(len(queries), -1)
         ids, far = [], []
         block = max(1, min(1024, 40_000_000 // max(self.n, 1)))
         for i in range(0, len(queries), block):
-            a, b = self._search(queries[i : i + block], None if starts is None else starts[i : i + block], beam or self.beam)
+            a, b = self._search(queries[i : i + block], starts[i : i + block], max(beam or self.beam, starts.shape[1]))
             ids.append(a)
             far.append(b)
         return np.concatenate(ids), np.concatenate(far)
 
-    def _search(self, q: np.ndarray, starts: np.ndarray | None, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, starts: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         m, n, w = len(q), self.n, self.width
         ids = np.full((m, beam), -1, dtype=np.int32)
         far = np.full((m, beam), FAR, dtype=np.float32)
         open_ = np.zeros((m, beam), dtype=bool)
-        ids[:, 0] = self.entry if starts is None else starts
-        far[:, 0] = 1 - np.einsum("ij,ij->i", q, self.v[ids[:, 0]])
-        open_[:, 0] = True
+        k = starts.shape[1]
+        away = 1 - np.matmul(self.v[starts], q[:, :, None])[:, :, 0]
+        for j in range(1, k):
+            away[(starts[:, :j] == starts[:, j : j + 1]).any(axis=1), j] = FAR
+        order = np.argsort(away, axis=1, kind="stable")
+        far[:, :k] = np.take_along_axis(away, order, axis=1)
+        ids[:, :k] = np.where(far[:, :k] < FAR, np.take_along_axis(starts, order, axis=1), -1)
+        open_[:, :k] = ids[:, :k] >= 0
         seen = np.zeros(m * n, dtype=bool)
         mark = np.empty(m * n, dtype=np.int32)
-        seen[np.arange(m) * n + ids[:, 0]] = True
+        seen[(np.arange(m)[:, None] * n + starts).ravel()] = True
         active = np.arange(m)
         while len(active):
             o = open_[active]

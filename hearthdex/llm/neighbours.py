@@ -2,9 +2,10 @@
 
 Vectors of one direction, whatever their length, form a class that stands in the graph once and keeps its k + 1 smallest
 ids. Classes go to the shard of their nearest centre (k-means on a bounded sample); a
-shard too large for one task is dealt out over several. Each class then searches the graphs
-of its ``probes`` nearest centres by beam search; what they propose is scored afresh in
-double precision, rounded, and merged with ties by id.
+shard too large for one task is dealt out over several. Each class then searches by beam search the graphs of its nearest
+centre and of all others that are nearly as near, up to ``probes``: more where shards are fine and where it lies between
+them. What a class meets meets it as well, so a pair is found if either of the two comes to the other's shard. The
+proposals are scored afresh in double precision, rounded, and merged with ties by id.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hearthdex.llm.graph import Graph
 from hearthdex.session import materialized, shuffle_partitions
@@ -24,35 +27,19 @@ SAMPLE = 32_768
 SHARD, CENTRES = 2_000, 2_048
 #: Classes in one graph, and searches in one task, at most; larger shards are dealt out.
 GRAPH, SEARCHES = 16_384, 65_536
-#: Nearest centres whose shards a vector searches.
-PROBES = 4
-#: Edges of a node, beam of a search in the own shard and in others, relaxation of the pruning,
-#: and nodes of which the nearest begins a search in another shard.
-DEGREE, BEAM, BEAM_AWAY, ALPHA, ENTRIES = 24, 40, 32, 1.2, 64
+#: Nearest centres whose shards a vector searches, at most, and by how much less cosine than the
+#: nearest one has another centre counts.
+PROBES, MARGIN = 16, 0.2
+#: Edges of a node, edges that dropped neighbours fill, beams of building and of searches in the own shard and in
+#: others, relaxation of the pruning, and nodes of which the nearest begin a search.
+DEGREE, FILL, BEAM, BEAM_HOME, BEAM_AWAY, ALPHA, ENTRIES = 24, 16, 32, 48, 24, 1.2, 512
 DIGITS = 6
 #: Digits of the unit vectors by which vectors have one direction: as fine as the scores.
 WAY_DIGITS = 6
+#: Members from which a class's list is dealt out over several tasks, and such classes up to which their table is broadcast.
+HOT, HOT_CLASSES = 100_000, 100_000
 
-
-def usable(vector: Column, width: int) -> Column:
-    """``width`` elements, all finite, not all zero."""
-    return F.coalesce(
-        (F.size(vector) == width)
-        & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        & F.exists(vector, lambda x: x != 0),
-        F.lit(False),
-    )
-
-
-def direction(vector: Column) -> Column:
-    """The unit vector in whole steps of 10^-WAY_DIGITS; -0.0 and 0.0 are one value.
-
-    Multiples of a vector differ in their last bits only, so few of them fall beside a step's edge.
-    """
-    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    # in an array of one the length is computed once a row
-    steps = F.transform(F.array(length), lambda n: F.transform(vector, lambda x: F.rint(x.cast("double") / n * F.lit(10.0**WAY_DIGITS)).cast("int")))
-    return steps[0]
+_ANSWER = pa.schema([("class", pa.int64()), ("scores", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64()))])
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -66,30 +53,52 @@ def _stack(column: pd.Series, width: int) -> np.ndarray:
     return np.concatenate(column.to_numpy()).reshape(len(column), width) if len(column) else np.zeros((0, width), np.float32)
 
 
+def _matrix(lists: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Lists of ``width`` numbers as rows; null elements become NaN."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row's unit vector in whole steps of 10^-WAY_DIGITS.
+
+    Multiples of a vector differ in their last bits only, so few of them fall beside a step's edge.
+    """
+    steps = np.rint(_units(vectors) * 10.0**WAY_DIGITS).astype(np.int64).astype(np.uint64)
+    factors = np.random.default_rng(11).integers(0, 2**63, (2, vectors.shape[1]), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    one, two = ((steps * f).sum(axis=1, dtype=np.uint64).view(np.int64) for f in factors)
+    return one, two
+
+
+def usable(df: DataFrame, key: str, vector: str, width: int) -> DataFrame:
+    """``id, vector, h1, h2`` of the rows with an id and ``width`` elements, all finite, not all zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = pc.equal(pc.list_value_length(batch["vector"]), width)
+            batch = batch.filter(pc.and_kleene(fits, pc.is_valid(batch["id"])))
+            v = _matrix(batch["vector"], width)
+            good = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+            batch = batch.filter(pa.array(good))
+            h1, h2 = directions(v[good])
+            yield pa.record_batch([batch["id"], batch["vector"], pa.array(h1), pa.array(h2)], names=["id", "vector", "h1", "h2"])
+
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    return rows.mapInArrow(run, "id long, vector array<float>, h1 long, h2 long")
+
+
 def classes(df: DataFrame, key: str, vector: str, width: int, k: int) -> tuple[DataFrame, DataFrame]:
-    """``(classes, members)``: classes are ``class, n, ids, vector`` with the k + 1 smallest ids, members are ``class, id``.
+    """``(classes, members)``: classes are ``class, ids, vector, h1, h2`` with the k + 1 smallest ids, members are ``id, h1, h2``.
 
     A class is named by its smallest id. ``ids`` is found by a ranking whose limit is
     applied before the shuffle, so a class of any size costs a task k + 1 rows.
     """
-    rows = (
-        df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-        .where(F.col("id").isNotNull() & usable(F.col("vector"), width))
-        .withColumn("way", direction(F.col("vector")))
-        .withColumns({"h1": F.xxhash64("way"), "h2": F.xxhash64(F.lit("second"), "way")})
-        .drop("way")
-    )
     # a repeated id keeps one vector, the one of the smaller hash
-    one = rows.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2")
+    one = usable(df, key, vector, width).groupBy("id").agg(F.min(F.struct("h1", "h2", "vector")).alias("x"))
+    one = materialized(one.select("id", "x.h1", "x.h2", "x.vector"), "vectors")
     first = one.withColumn("rank", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).where(F.col("rank") <= k + 1)
-    ids = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    size = one.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-    vectors = rows.groupBy("h1", "h2").agg(F.min("vector").alias("vector"))
-    all_ = (
-        vectors.join(ids, ["h1", "h2"]).join(size, ["h1", "h2"])
-        .select(F.col("ids")[0].alias("class"), "n", "ids", "vector", "h1", "h2")
-    )
-    return all_, one
+    all_ = first.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("vector", "id").alias("vector"))
+    return all_.select(F.col("ids")[0].alias("class"), "ids", "vector", "h1", "h2"), one.select("id", "h1", "h2")
 
 
 def centres(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -97,7 +106,7 @@ def centres(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.n
     rng = np.random.default_rng(seed)
     c = sample[np.sort(rng.choice(len(sample), min(k, len(sample)), replace=False))]
     for _ in range(rounds if len(c) > 1 else 0):
-        near = np.argmax(sample @ c.T, axis=1)
+        near = np.concatenate([np.argmax(sample[i : i + 4096] @ c.T, axis=1) for i in range(0, len(sample), 4096)])
         total = np.zeros_like(c)
         np.add.at(total, near, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -105,54 +114,61 @@ def centres(sample: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.n
     return c.astype(np.float32)
 
 
+def _first(group: np.ndarray, n: int) -> np.ndarray:
+    """Which of rows sorted by group are among the first n of theirs."""
+    return np.arange(len(group)) - np.searchsorted(group, group) < n
+
+
 def _search_shard(width: int, k: int, degree: int, beam: int, alpha: float):
-    def run(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("class", kind="stable")
-        inside = pdf[pdf["inside"]]
-        asking = pdf[pdf["asking"]]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("class")
+        inside, asking = (np.flatnonzero(table[c].to_numpy()) for c in ("inside", "asking"))
         if not len(inside) or not len(asking):
-            return pd.DataFrame({"class": [], "scores": [], "ids": []}, dtype=object)
-        base, q = _units(_stack(inside["vector"], width)), _units(_stack(asking["vector"], width))
-        graph = Graph(base, degree, beam, alpha)
-        names, ids = inside["class"].to_numpy(), inside["ids"].to_numpy()
-        at = {c: i for i, c in enumerate(names)}
-        own = np.array([at.get(c, -1) for c in asking["class"]], dtype=np.int64)
-        q32 = q.astype(np.float32)
-        found = np.full((len(q), 2 * k + 2), -1, dtype=np.int32)
-        home, away = np.flatnonzero(own >= 0), np.flatnonzero(own < 0)
-        entries = np.unique(np.linspace(0, len(base) - 1, min(ENTRIES, len(base))).astype(np.int32))
-        for at_, width_ in ((home, max(beam, found.shape[1])), (away, max(min(beam, BEAM_AWAY), found.shape[1]))):
-            if len(at_):
-                near = own[at_].astype(np.int32) if at_ is home else entries[np.argmax(q32[at_] @ graph.v[entries].T, axis=1)]
-                found[at_] = graph.search(q32[at_], near, width_)[0][:, : found.shape[1]]
-        score = np.empty(found.shape)
-        for i in range(0, len(q), 4096):
-            part = slice(i, i + 4096)
-            score[part] = np.round(np.einsum("ij,ikj->ik", q[part], base[np.maximum(found[part], 0)]), DIGITS)
-        score[found < 0] = -9
-        order = np.lexsort((names[np.maximum(found, 0)], -score), axis=1)
-        out_scores, out_ids = [], []
-        for i, row in enumerate(order):
-            pairs: list[tuple[float, int]] = []
-            classes_ = 0
-            for j in row:
-                f = found[i, j]
-                if f < 0 or classes_ > k:
-                    break
-                classes_ += 1
-                pairs += [(-score[i, j], x) for x in ids[f]]
-            pairs.sort()
-            del pairs[k + 1 :]
-            out_scores.append([-s for s, _ in pairs])
-            out_ids.append([int(x) for _, x in pairs])
-        return pd.DataFrame({"class": asking["class"].to_numpy(), "scores": out_scores, "ids": out_ids})
+            return _ANSWER.empty_table()
+        names = table["class"].to_numpy()
+        units = _units(_matrix(table["vector"], width))
+        graph = Graph(units[inside], degree, beam, alpha, fill=FILL, entries=ENTRIES)
+        own = np.full(len(names), -1, dtype=np.int32)
+        own[inside] = np.arange(len(inside), dtype=np.int32)
+        home, away = asking[own[asking] >= 0], asking[own[asking] < 0]
+        pairs = []
+        for rows, width_ in ((home, max(beam, BEAM_HOME, 2 * k + 2)), (away, max(min(beam, BEAM_AWAY), 2 * k + 2))):
+            if len(rows):
+                q = units[rows].astype(np.float32)
+                starts = np.column_stack([own[rows], graph.starts(q, k=1)]) if rows is home else graph.starts(q)
+                found = graph.search(q, starts, width_)[0][:, : 2 * k + 2]
+                at, col = np.nonzero(found >= 0)
+                pairs.append((rows[at], inside[found[at, col]]))
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])  # who is met meets
+        a, b = np.divmod(np.unique(a * len(names) + b), len(names))
+        score = np.empty(len(a))
+        for i in range(0, len(a), 1 << 18):
+            part = slice(i, i + (1 << 18))
+            score[part] = np.round(np.einsum("ij,ij->i", units[a[part]], units[b[part]]), DIGITS)
+        order = np.lexsort((b, -score, a))  # rows are sorted by class
+        order = order[_first(a[order], k + 1)]
+        a, b, score = a[order], b[order], score[order]
+        # each class stands for its ids
+        ids = table["ids"].combine_chunks()
+        start, size, flat = ids.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(ids).to_numpy(), ids.values.to_numpy()
+        many = size[b]
+        at = np.repeat(start[b] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        a, score, id_ = np.repeat(a, many), np.repeat(score, many), flat[at]
+        order = np.lexsort((id_, -score, a))
+        order = order[_first(a[order], k + 1)]
+        a, score, id_ = a[order], score[order], id_[order]
+        who, count = np.unique(a, return_counts=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+        lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (score, id_))
+        return pa.table([pa.array(names[who]), *lists], schema=_ANSWER)
 
     return run
 
 
 def neighbours(
     df: DataFrame, key: str = "chunk_id", vector: str = "vector", width: int = 64, k: int = 10,
-    probes: int = PROBES, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 5,
+    probes: int = PROBES, shard: int = SHARD, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, margin: float = MARGIN, seed: int = 5,
 ) -> DataFrame:
     """``id, near, score``: up to k rows per usable vector, its most similar others.
 
@@ -177,8 +193,12 @@ def neighbours(
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            near = np.argsort(-(_units(_stack(pdf["vector"], width)).astype(np.float32) @ centre.T), axis=1, kind="stable")[:, :probes]
-            yield pdf.assign(near=list(near.astype(np.int32)))
+            near = _units(_stack(pdf["vector"], width)).astype(np.float32) @ centre.T
+            order = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+            score = np.take_along_axis(near, order, axis=1)
+            by = np.argsort(-score, axis=1, kind="stable")
+            order, score = np.take_along_axis(order, by, axis=1).astype(np.int32), np.take_along_axis(score, by, axis=1)
+            yield pdf.assign(near=[o[:n] for o, n in zip(order, (score >= score[:, :1] - margin).sum(axis=1))])
 
     routed = table.select("class", "ids", "vector").mapInPandas(route, "class long, ids array<long>, vector array<float>, near array<int>")
     routed = routed.select("class", "ids", "vector", F.posexplode("near").alias("rank", "centre"))
@@ -207,23 +227,32 @@ def neighbours(
     placed = placed.withColumns(
         {"inside": (F.col("rank") == 0) & (F.col("to_g") == F.col("my_g")), "asking": F.col("to_t") == F.col("my_t")}
     ).where("inside or asking")
-    answers = placed.select("centre", "to_g", "to_t", "class", F.when(F.col("inside"), F.col("ids")).alias("ids"), "vector", "inside", "asking").repartition(
-        shuffle_partitions(spark), "centre", "to_g", "to_t"
-    ).groupBy("centre", "to_g", "to_t").applyInPandas(_search_shard(width, k, degree, beam, alpha), "class long, scores array<double>, ids array<long>")
+    # a graph a task, or few, so that long and short ones even out
+    groups = sum(graphs[c] * tasks[c] for c in graphs)
+    answers = (
+        placed.select("centre", "to_g", "to_t", "class", "ids", "vector", "inside", "asking")
+        .repartition(max(shuffle_partitions(spark), 2 * groups), "centre", "to_g", "to_t")
+        .groupBy("centre", "to_g", "to_t").applyInArrow(_search_shard(width, k, degree, beam, alpha), "class long, scores array<double>, ids array<long>")
+    )
     merged = (
         answers.select("class", F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("best"))
         .groupBy("class")
         .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
     )
-    # a class of one is its own member; members of larger classes meet their class's list by a salted join
-    names = table.select("class", "n", "h1", "h2")
-    lists = merged.join(names, "class")
-    salts = 16
-    many = lists.where("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    members = one.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    each = lists.where("n = 1").select(F.col("class").alias("id"), "best").unionByName(
-        members.join(many.select("h1", "h2", "salt", "best"), ["h1", "h2", "salt"]).select("id", "best")
-    )
+    # a class of one is its own member; members of larger classes meet their class's list
+    lists = merged.join(table.select("class", F.size("ids").alias("size"), "h1", "h2"), "class")
+    many, members = lists.where("size > 1").select("h1", "h2", "best"), one
+    keys = ["h1", "h2"]
+    # only a class with k + 1 ids can be hot; its members and list are salted by its size
+    hot = materialized(one.groupBy("h1", "h2").count().where(F.col("count") >= HOT), "hot")
+    if n_hot := hot.count():
+        hot = hot.select("h1", "h2", F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
+        hot = F.broadcast(hot) if n_hot <= HOT_CLASSES else hot
+        salts = F.coalesce("salts", F.lit(1))
+        many = many.join(hot, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        members = members.join(hot, keys, "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("salts")
+        keys = [*keys, "salt"]
+    each = lists.where("size = 1").select(F.col("class").alias("id"), "best").unionByName(members.join(many, keys).select("id", "best"))
     others = F.slice(F.filter("best", lambda x: x["i"] != F.col("id")), 1, k)
     return each.select("id", F.explode(others).alias("x")).select("id", F.col("x.i").alias("near"), (-F.col("x.s")).alias("score"))
 
@@ -231,3 +260,47 @@ def neighbours(
 def neighbour_pairs(found: DataFrame) -> DataFrame:
     """``chunk_a, chunk_b``: each unordered pair once in which one is among the nearest of the other."""
     return found.select(F.least("id", "near").alias("chunk_a"), F.greatest("id", "near").alias("chunk_b")).distinct()
+
+
+def _exact(width: int, k: int):
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(rows):
+            return pd.DataFrame({"id": [], "near": [], "score": []})
+        q, v, ids = _units(_stack(queries["vector"], width)), _units(_stack(rows["vector"], width)), rows["id"].to_numpy()
+        out = []
+        for i in range(0, len(q), 256):
+            own = queries["id"].to_numpy()[i : i + 256, None]
+            score = np.where(own == ids[None, :], -9.0, np.round(q[i : i + 256] @ v.T, DIGITS))
+            # all that are as good as the k-th, so that ties go by id
+            least = -np.partition(-score, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1, None]
+            at, col = np.nonzero((score >= least) & (score > -9))
+            order = np.lexsort((ids[col], -score[at, col], at))
+            order = order[_first(at[order], k)]
+            out.append(pd.DataFrame({"id": own[at[order], 0], "near": ids[col[order]], "score": score[at[order], col[order]]}))
+        return pd.concat(out)
+
+    return run
+
+
+def exact_neighbours(df: DataFrame, key: str = "chunk_id", vector: str = "vector", width: int = 64, k: int = 10, every: int = 100, block: int = 10_000) -> DataFrame:
+    """``id, near, score`` as :func:`neighbours`, but exact, and only for the ids divisible by ``every``.
+
+    All rows are compared with all of those queries, block by block; of each pair of blocks the best k a query go on.
+    """
+    rows = usable(df, key, vector, width).groupBy("id").agg(F.min(F.struct("h1", "h2", "vector")).alias("x")).select("id", "x.vector")
+    rows = materialized(rows, "vectors")
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+    q_blocks, blocks = max(1, -(-asked.count() // block)), max(1, -(-rows.count() // block))
+    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    queries = asked.withColumn("q", deal(q_blocks)).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    others = rows.withColumn("b", deal(blocks)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+    best = queries.groupBy("q", "b").cogroup(others.groupBy("q", "b")).applyInPandas(_exact(width, k), "id long, near long, score double")
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("score"), "near"))).where(F.col("rank") <= k).drop("rank")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """``queries, pairs, found, recall``: how many rows of ``exact`` are among those of ``found``."""
+    hits = exact.join(found.select("id", "near", F.lit(1).alias("hit")), ["id", "near"], "left")
+    return hits.agg(
+        F.count_distinct("id").alias("queries"), F.count("*").alias("pairs"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall")
+    )

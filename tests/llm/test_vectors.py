@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 from hearthdex.llm.graph import Graph
-from hearthdex.llm.neighbours import neighbour_pairs, neighbours
+from hearthdex.llm.neighbours import exact_neighbours, neighbour_pairs, neighbours, recall as recall_of
 
 SCHEMA = "chunk_id long, vector array<float>, id int, class string"
 
@@ -109,3 +109,25 @@ def test_hot_group_of_scaled_copies(spark):
     assert got.keys() == want.keys()
     assert all(got[2 * i] == want[2 * i] for i in range(2000))
     assert got[5001] == want[5001] and recall(got, want) > 0.9
+
+
+def test_recall_against_all_rows_in_blocks(spark):
+    rows = [(i, x.tolist()) for i, x in enumerate(clusters(700, 8))] + [(i, [1.0] * 16) for i in range(2000, 2030)]
+    df = spark.createDataFrame([(i, x, 1, "c") for i, x in rows], SCHEMA)
+    want = brute(rows, 5)
+    exact = collect(exact_neighbours(df, width=16, k=5, every=10, block=90))
+    assert exact == {i: [*want[i]] for i in want if i % 10 == 0}
+    one = recall_of(neighbours(df, width=16, k=5, shard=200), exact_neighbours(df, width=16, k=5, every=10)).first()
+    assert one["queries"] == 73 and one["pairs"] == 365 and one["recall"] > 0.95 and one["found"] == round(one["recall"] * 365)
+    assert exact_neighbours(df.limit(0), width=16).count() == 0
+
+
+def test_lists_of_hot_classes_are_salted(spark, monkeypatch):
+    from hearthdex.llm import neighbours as module
+
+    monkeypatch.setattr(module, "HOT", 7)
+    rows = [(i, [1.0, float(i % 2)]) for i in range(60)] + [(100, [-1.0, 0.2]), (101, [0.9, 0.3])]
+    df = spark.createDataFrame([(i, x, 1, "c") for i, x in rows], SCHEMA)
+    for bound in (100_000, 0):
+        monkeypatch.setattr(module, "HOT_CLASSES", bound)
+        assert collect(neighbours(df, width=2, k=4)) == brute(rows, 4)
