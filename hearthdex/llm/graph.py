@@ -10,11 +10,31 @@ several of them at once; many searches run side by side in NumPy.
 
 from __future__ import annotations
 
+import ctypes
+import glob
+import os
+from functools import cache
+
 import numpy as np
 
 FAR = np.float32(9.0)
 
 
+@cache
+def one_thread() -> None:
+    """Keeps NumPy's linear algebra to the task's own core, where its library has a switch for that.
+
+    The matrices here are small, and threads that wait for each other take the time of other tasks.
+    """
+    for at in glob.glob(os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs", "*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            try:
+                getattr(ctypes.CDLL(at), name)(1)
+                return
+            except (AttributeError, OSError):
+                continue
+
+
 class Graph:
     """Graph of one shard. ``vectors`` are float32 rows of unit length."""
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from hearthdex.llm.graph import Graph
+from hearthdex.llm.graph import Graph, one_thread
 from hearthdex.session import materialized, shuffle_partitions
 
 #: Vectors that the centres are fitted on, at most; all vectors are indexed.
@@ -29,7 +29,7 @@ SHARD, CENTRES = 2_000, 2_048
 GRAPH, SEARCHES = 16_384, 65_536
 #: Nearest centres whose shards a vector searches, at most, and by how much less cosine than the
 #: nearest one has another centre counts.
-PROBES, MARGIN = 16, 0.2
+PROBES, MARGIN = 16, 0.15
 #: Edges of a node, edges that dropped neighbours fill, beams of building and of searches in the own shard and in
 #: others, relaxation of the pruning, and nodes of which the nearest begin a search.
 DEGREE, FILL, BEAM, BEAM_HOME, BEAM_AWAY, ALPHA, ENTRIES = 24, 16, 32, 48, 24, 1.2, 512
@@ -119,45 +119,58 @@ def _first(group: np.ndarray, n: int) -> np.ndarray:
     return np.arange(len(group)) - np.searchsorted(group, group) < n
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def _search_shard(width: int, k: int, degree: int, beam: int, alpha: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("class")
         inside, asking = (np.flatnonzero(table[c].to_numpy()) for c in ("inside", "asking"))
         if not len(inside) or not len(asking):
             return _ANSWER.empty_table()
+        if len(table) >= 1 << 20:
+            raise ValueError("more rows than a graph and its searches may have")
+        one_thread()
         names = table["class"].to_numpy()
         units = _units(_matrix(table["vector"], width))
         graph = Graph(units[inside], degree, beam, alpha, fill=FILL, entries=ENTRIES)
         own = np.full(len(names), -1, dtype=np.int32)
         own[inside] = np.arange(len(inside), dtype=np.int32)
         home, away = asking[own[asking] >= 0], asking[own[asking] < 0]
-        pairs = []
-        for rows, width_ in ((home, max(beam, BEAM_HOME, 2 * k + 2)), (away, max(min(beam, BEAM_AWAY), 2 * k + 2))):
+        n, keep, pairs = len(names), k + 6, []
+        for rows, width_ in ((home, max(beam, BEAM_HOME, keep)), (away, max(min(beam, BEAM_AWAY), keep))):
             if len(rows):
                 q = units[rows].astype(np.float32)
                 starts = np.column_stack([own[rows], graph.starts(q, k=1)]) if rows is home else graph.starts(q)
-                found = graph.search(q, starts, width_)[0][:, : 2 * k + 2]
+                found = graph.search(q, starts, width_)[0][:, :keep]
                 at, col = np.nonzero(found >= 0)
-                pairs.append((rows[at], inside[found[at, col]]))
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        a, b = np.concatenate([a, b]), np.concatenate([b, a])  # who is met meets
-        a, b = np.divmod(np.unique(a * len(names) + b), len(names))
+                x, y = rows[at], inside[found[at, col]]
+                pairs.append(np.minimum(x, y) * n + np.maximum(x, y))
+        # who is met meets; each pair is scored once
+        a, b = np.divmod(_distinct(np.concatenate(pairs)), n)
         score = np.empty(len(a))
-        for i in range(0, len(a), 1 << 18):
-            part = slice(i, i + (1 << 18))
-            score[part] = np.round(np.einsum("ij,ij->i", units[a[part]], units[b[part]]), DIGITS)
-        order = np.lexsort((b, -score, a))  # rows are sorted by class
-        order = order[_first(a[order], k + 1)]
-        a, b, score = a[order], b[order], score[order]
+        for i in range(0, len(a), 1 << 14):
+            part = slice(i, i + (1 << 14))
+            score[part] = np.einsum("ij,ij->i", units[a[part]], units[b[part]])
+        worse = 10**DIGITS - np.rint(score * 10**DIGITS).astype(np.int64) + 1  # 0 is the best, 22 bits do
+        order = _distinct(np.concatenate([(a << 42 | worse << 20 | b), (b << 42 | worse << 20 | a)]))  # rows are sorted by class
+        order = order[_first(order >> 42, k + 1)]
+        a, b, score = order >> 42, order & (1 << 20) - 1, (10**DIGITS + 1 - (order >> 20 & (1 << 22) - 1)) / 10**DIGITS
         # each class stands for its ids
         ids = table["ids"].combine_chunks()
         start, size, flat = ids.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(ids).to_numpy(), ids.values.to_numpy()
-        many = size[b]
-        at = np.repeat(start[b] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        a, score, id_ = np.repeat(a, many), np.repeat(score, many), flat[at]
-        order = np.lexsort((id_, -score, a))
-        order = order[_first(a[order], k + 1)]
-        a, score, id_ = a[order], score[order], id_[order]
+        if len(flat) == n:
+            id_ = names[b]
+        else:
+            many = size[b]
+            at = np.repeat(start[b] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            a, score, id_ = np.repeat(a, many), np.repeat(score, many), flat[at]
+            order = np.lexsort((id_, -score, a))
+            order = order[_first(a[order], k + 1)]
+            a, score, id_ = a[order], score[order], id_[order]
         who, count = np.unique(a, return_counts=True)
         offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
         lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (score, id_))
