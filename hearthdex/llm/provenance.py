@@ -50,18 +50,22 @@ STYLE = frozenset({"css"})
 
 #: Lines that a repeating file must have; part of its three-line windows of templates that come
 #: again, less where the file is named like output; and the most distinct templates to lines.
-LEAST_LINES, REPEATED, REPEATED_NAMED, DISTINCT = 15, 0.55, 0.4, 0.4
+LEAST_LINES, REPEATED, REPEATED_NAMED, DISTINCT = 6, 0.55, 0.4, 0.4
 #: Names and directories of output. Fixed values.
 OUTPUT_NAME = r"(?:_pb2|_pb2_grpc|_gen|_generated|\.gen|\.generated|\.g|\.pb)\.\w+$|(?:^|/)(?:generated|gen|__generated__|autogen|build/out|dist)/"
 _OUTPUT = re.compile(OUTPUT_NAME)
 #: Characters that a minified file must have, blanks to characters, names of up to two letters to names.
-LEAST_CHARACTERS, BLANKS, SHORT_NAMES, LEAST_NAMES = 200, 0.06, 0.75, 30
+LEAST_CHARACTERS, BLANKS, SHORT_NAMES, LEAST_NAMES = 60, 0.06, 0.75, 10
 #: Literals to characters, and the characters that a block of data must have.
-LITERALS, LEAST_DATA = 0.45, 400
-#: Words in a shingle, one in how many is drawn for the candidate search, and the similarity to a known file.
-SHINGLE, DRAWN, SIMILAR = 5, 8, 0.8
+LITERALS, LEAST_DATA = 0.45, 120
+#: Words in a shingle, and the similarity to a known file.
+SHINGLE, SIMILAR = 5, 0.8
+#: Shingles of known files up to which their index goes to every task (16 bytes each); beyond it files meet them by a join.
+KNOWN = 4_000_000
 #: Files and repositories of a shared subtree.
 SHARED_FILES, SHARED_REPOS = 2, 3
+#: Values drawn from the contents of a repository, by which related ones are told.
+DRAWS = 16
 
 _STRING = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`\\]*`')
 _COMMENT = re.compile(r"/\*.*?\*/|//[^\n]*", re.S)
@@ -100,9 +104,32 @@ def leading_comment(text: str) -> str:
     return "\n".join(out)
 
 
+_QUOTED = re.compile(r"\"[^\"\n]*\"|`[^`\n]*`|“[^”\n]*”|(?<!\w)'[^'\n]*'(?!\w)")
+_SENTENCE = re.compile(r"(?<=[.!?;:。])\s+")
+_MARGIN = re.compile(r"^[/*#!<>;\-\s]+")
+
+
 def says_generated(text: str) -> bool:
-    head = leading_comment(text)
-    return bool(_GENERATED.search(head)) and not _ABOUT.search(head)
+    """Whether a paragraph of the leading comment says so, before any sentence in it that is about such files.
+
+    What stands in quotes is neither.
+    """
+    paragraph: list[str] = []
+    for line in [*leading_comment(text).split("\n"), ""]:
+        bare = _MARGIN.sub("", line)
+        # a marker like <auto-generated> is no margin
+        bare = line.lstrip("/*#!; \t") if "<auto" in line.lower() else bare
+        if bare:
+            paragraph.append(bare)
+            continue
+        if paragraph:
+            for sentence in _SENTENCE.split(_QUOTED.sub(" ", "\n".join(paragraph)).replace("\n", " ")):
+                if _ABOUT.search(sentence + " "):
+                    break
+                if _GENERATED.search(sentence + " "):
+                    return True
+        paragraph = []
+    return False
 
 
 def foreign(text: str, ext: str) -> bool:
@@ -199,82 +226,105 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Of two sets of shingles: the part of the smaller that both have, and shared to all."""
-    if not len(a) or not len(b):
-        return 0.0, 0.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / min(len(a), len(b)), both / (len(a) + len(b) - both)
+class Known:
+    """Known texts by their shingles: for each shingle the texts that have it."""
 
+    def __init__(self, shingled: list[np.ndarray]):
+        self.size = np.array([len(x) for x in shingled], dtype=np.int64)
+        marks = np.concatenate([*shingled, np.zeros(0, dtype=np.uint64)]).astype(np.uint64)
+        order = np.argsort(marks, kind="stable")
+        self.marks, self.owner = marks[order], np.repeat(np.arange(len(shingled), dtype=np.int32), self.size)[order]
 
-def _signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        texts = [t or "" for t in pdf["text"]]
-        drawn = []
-        for t in texts:
-            s = shingles(t)
-            drawn.append(s[s % np.uint64(DRAWN) == 0].astype(np.int64))
-        yield pd.DataFrame(
-            {"repo": pdf["repo"], "path": pdf["path"], "reason": [verdict(p, t) for p, t in zip(pdf["path"], texts)], "drawn": drawn}
-        )
+    def holds(self, own: np.ndarray) -> bool:
+        """Whether one of the texts is essentially that with these distinct shingles."""
+        if not len(own) or not len(self.marks):
+            return False
+        start, end = np.searchsorted(self.marks, own), np.searchsorted(self.marks, own, side="right")
+        count = end - start
+        met = self.owner[np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        both = np.bincount(met, minlength=len(self.size))
+        return bool(alike(both, len(own), self.size).any())
 
 
-def _drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        each = [shingles(t or "") for t in pdf["text"]]
-        yield pd.DataFrame({"id": pdf["id"], "drawn": [s[s % np.uint64(DRAWN) == 0].astype(np.int64) for s in each]})
+def alike(both, one, other):
+    """Of numbers of shingles: most of the smaller set is shared, and much of all."""
+    return (both >= SIMILAR * np.minimum(one, other)) & (both >= SIMILAR * SIMILAR * (one + other - both)) & (both > 0)
+
+
+def _signs(known, with_marks: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = known.value if known else None
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            marks = [shingles(t) for t in texts] if index is not None or with_marks else [np.zeros(0, dtype=np.uint64)] * len(texts)
+            out = pdf[["repo", "path", "d1", "d2"]].assign(
+                reason=[verdict(p, t) for p, t in zip(pdf["path"], texts)], copy=[bool(index and index.holds(m)) for m in marks]
+            )
+            yield out.assign(marks=[m.view(np.int64) if with_marks else np.zeros(0, dtype=np.int64) for m in marks])
+
+    return run
 
 
-def _same(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ok = []
-        for a, b in zip(pdf["text"], pdf["other"]):
-            part, shared = similarity(shingles(a or ""), shingles(b or ""))
-            ok.append(part >= SIMILAR and shared >= SIMILAR * SIMILAR)
-        yield pdf.loc[ok, ["repo", "path"]]
+        marks = [shingles(t or "").view(np.int64) for t in pdf["text"]]
+        yield pd.DataFrame({"size": [len(m) for m in marks], "marks": marks})
 
 
-def known_copies(files: DataFrame, signs: DataFrame, upstream: DataFrame) -> DataFrame:
-    """``repo, path`` of the files that are essentially one upstream text.
+def signs(files: DataFrame, upstream: DataFrame, known: int = KNOWN) -> DataFrame:
+    """``repo, path, d1, d2, reason, copy``: digests of each file, what it says itself, and whether it is a known text.
 
-    Files that share a fair part of the drawn shingles with an upstream text are
-    candidates; the whole texts of those pairs are compared.
+    All shingles of a file are held against all of all known texts. Up to ``known``
+    shingles those are an index that goes to every task; else both meet by a join.
     """
-    known = upstream.select(F.monotonically_increasing_id().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = materialized(known, "upstream")
-    marks = known.mapInPandas(_drawn, "id long, drawn array<long>").select("id", F.size("drawn").alias("size"), F.explode("drawn").alias("h"))
-    pairs = (
-        signs.select("repo", "path", F.size("drawn").alias("own"), F.explode("drawn").alias("h"))
-        .join(marks, "h")
-        .groupBy("repo", "path", "id")
-        .agg(F.count("*").alias("both"), F.max("own").alias("own"), F.max("size").alias("size"))
-        .where(F.col("both") >= 0.5 * F.least("own", "size"))
-        .select("repo", "path", "id")
+    spark = files.sparkSession
+    rows = files.select("repo", "path", "text", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit("second"), "text").alias("d2"))
+    marks = materialized(upstream.select("text").mapInPandas(_marks, "size long, marks array<long>").where("size > 0"), "known")
+    schema = "repo string, path string, d1 long, d2 long, reason string, copy boolean, marks array<long>"
+    if (marks.agg(F.sum("size")).first()[0] or 0) <= known:
+        index = spark.sparkContext.broadcast(Known([np.array(r["marks"], dtype=np.int64).view(np.uint64) for r in marks.select("marks").toLocalIterator()]))
+        return materialized(rows.mapInPandas(_signs(index, False), schema).drop("marks"), "signs")
+    own = materialized(rows.mapInPandas(_signs(None, True), schema), "signs")
+    # a known text is named by its place, and each mark's texts stand in one row
+    held = marks.withColumn("id", F.monotonically_increasing_id()).select("id", "size", F.explode("marks").alias("mark"))
+    held = materialized(held, "held")
+    both = (
+        own.select("repo", "path", F.size("marks").alias("own"), F.explode("marks").alias("mark")).join(held, "mark")
+        .groupBy("repo", "path", "id").agg(F.count("*").alias("both"), F.first("own").alias("own"), F.first("size").alias("size"))
     )
-    texts = pairs.join(known.select("id", F.col("text").alias("other")), "id").join(files, ["repo", "path"])
-    return texts.select("repo", "path", "text", "other").mapInPandas(_same, "repo string, path string").distinct()
+    fits = (F.col("both") >= SIMILAR * F.least("own", "size")) & (F.col("both") >= SIMILAR * SIMILAR * (F.col("own") + F.col("size") - F.col("both")))
+    copies = both.where(fits).select("repo", "path", F.lit(True).alias("met")).distinct()
+    return own.drop("marks", "copy").join(copies, ["repo", "path"], "left").withColumn("copy", F.coalesce("met", F.lit(False))).drop("met")
 
 
-def shared_subtrees(files: DataFrame, least_files: int = SHARED_FILES, least_repos: int = SHARED_REPOS) -> DataFrame:
+def shared_subtrees(leaves: DataFrame, least_files: int = SHARED_FILES, least_repos: int = SHARED_REPOS) -> DataFrame:
     """``repo, dir`` of the directories whose whole content unrelated repositories share.
 
-    Digests go bottom-up: a directory's is made of the names and digests of its
-    entries, without its own name. Repositories that are equal as a whole count as one.
+    ``leaves`` has ``repo, path, d1, d2``. Digests go bottom-up: a directory's is made of the names and digests of its
+    entries, without its own name; empty files don't count as files of it. Only directories without a file that too few repositories have are
+    built up, so levels end where no directory has a partner. Repositories that have most of their contents in
+    common, like forks, are related and count as about one: of DRAWS smallest values over the contents
+    of each, how many different ones the sharing repositories have tells how many they are.
     """
-    nodes = files.select(
-        "repo", F.split("path", "/").alias("parts"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit("second"), "text").alias("d2"),
-    ).select("repo", "parts", F.size("parts").alias("depth"), "d1", "d2", F.lit(1).cast("long").alias("n"))
-    nodes = materialized(nodes, "leaves")
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    nodes = leaves.select("repo", F.split("path", "/").alias("parts"), "d1", "d2").withColumn("depth", F.size("parts"))
+    wide = leaves.groupBy("d1", "d2").agg(F.count_distinct("repo").alias("repos")).where(F.col("repos") >= least_repos).select("d1", "d2")
+    nodes = materialized(nodes.join(wide.withColumn("wide", F.lit(True)), ["d1", "d2"], "left"), "leaves")
+    above = F.explode(F.when(F.col("depth") > 1, F.sequence(F.lit(1), F.col("depth") - 1)))
+    own = nodes.where("wide is null").select("repo", "parts", above.alias("k")).select("repo", F.slice("parts", F.lit(1), F.col("k")).alias("parts"))
+    own = materialized(own.distinct(), "own")  # directories with a file of few repositories
+    alive = nodes.where("wide and depth > 1").withColumn("dir", F.slice("parts", F.lit(1), F.col("depth") - 1))
+    alive = alive.join(own.withColumnRenamed("parts", "dir"), ["repo", "dir"], "left_anti").select("repo", "parts", "d1", "d2", "depth", F.when(F.col("d1") == F.xxhash64(F.lit("")), 0).otherwise(1).cast("long").alias("n"))
+    alive = materialized(alive, "alive")
+    deepest = alive.agg(F.max("depth")).first()[0] or 0
     below, levels = None, []
-    for depth in range(deepest, 0, -1):
-        here = nodes.where(F.col("depth") == depth).drop("depth")
+    for depth in range(deepest, 1, -1):
+        here = alive.where(F.col("depth") == depth).drop("depth")
         if below is not None:
             here = here.unionByName(below)
         name = F.element_at("parts", -1)
         below = here.groupBy("repo", F.slice("parts", 1, depth - 1).alias("parts")).agg(
             F.bit_xor(F.xxhash64(name, "d1", "d2")).alias("d1"), F.bit_xor(F.xxhash64("d2", name, "d1")).alias("d2"), F.sum("n").alias("n")
-        )
+        ).join(own, ["repo", "parts"], "left_anti").select("repo", "parts", "d1", "d2", "n")
         below = materialized(below, "level")  # else each level's plan would hold all below it
         levels.append(below)
     if not levels:
@@ -282,13 +332,17 @@ def shared_subtrees(files: DataFrame, least_files: int = SHARED_FILES, least_rep
     dirs = levels[0]
     for level in levels[1:]:
         dirs = dirs.unionByName(level)
-    dirs = dirs.select("repo", F.array_join("parts", "/").alias("dir"), "d1", "d2", "n")
-    roots = dirs.where("dir = ''").select("repo", F.col("d1").alias("root"))
-    common = (
-        dirs.where(F.col("n") >= least_files).join(roots, "repo").groupBy("d1", "d2", "n")
-        .agg(F.count_distinct("root").alias("repos")).where(F.col("repos") >= least_repos)
+    dirs = dirs.where(F.col("n") >= least_files).select("repo", F.array_join("parts", "/").alias("dir"), "d1", "d2", "n")
+    key = ["d1", "d2", "n"]
+    common = dirs.groupBy(*key).agg(F.count_distinct("repo").alias("repos")).where(F.col("repos") >= least_repos).select(*key)
+    common = materialized(dirs.join(common, key, "left_semi"), "common")
+    drawn = leaves.groupBy("repo").agg(F.array(*[F.min(F.xxhash64(F.lit(i), "d1", "d2")) for i in range(DRAWS)]).alias("drawn"))
+    unrelated = (
+        common.select("repo", *key).distinct().join(drawn, "repo").select(*key, F.posexplode("drawn").alias("i", "value"))
+        .groupBy(*key, "i").agg(F.count_distinct("value").alias("values"))
+        .groupBy(*key).agg(F.avg("values").alias("about")).where(F.col("about") > least_repos / 2).select(*key)
     )
-    return dirs.join(common.drop("repos"), ["d1", "d2", "n"], "left_semi").where("dir <> ''").select("repo", "dir").distinct()
+    return common.join(unrelated, key, "left_semi").select("repo", "dir").distinct()
 
 
 def not_handwritten(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
@@ -298,11 +352,9 @@ def not_handwritten(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
     texts; it may be empty. Of several reasons the first of the module's list counts.
     Texts are compared whole; empty and blank files come out only by their path.
     """
-    files = materialized(current_files(chunks), "files")
-    signs = materialized(files.mapInPandas(_signs, "repo string, path string, reason string, drawn array<long>"), "signs")
-    copies = known_copies(files, signs, upstream).withColumn("copy", F.lit(True))
-    shared = shared_subtrees(files)
-    above = signs.select("repo", "path", F.split("path", "/").alias("parts")).select(
+    each = signs(current_files(chunks), upstream)
+    shared = shared_subtrees(each.select("repo", "path", "d1", "d2"))
+    above = each.select("repo", "path", F.split("path", "/").alias("parts")).select(
         "repo", "path", F.explode(F.when(F.size("parts") > 1, F.sequence(F.lit(1), F.size("parts") - 1))).alias("k"), "parts"
     )
     inside = (
@@ -310,7 +362,7 @@ def not_handwritten(chunks: DataFrame, upstream: DataFrame) -> DataFrame:
         .join(shared, ["repo", "dir"], "left_semi").select("repo", "path").distinct().withColumn("shared", F.lit(True))
     )
     return (
-        signs.select("repo", "path", "reason").join(copies, ["repo", "path"], "left").join(inside, ["repo", "path"], "left")
+        each.select("repo", "path", "reason", "copy").join(inside, ["repo", "path"], "left")
         .withColumn("reason", F.when(F.col("copy") | F.col("shared"), "vendored").otherwise(F.col("reason")))
         .where("reason is not null").select("repo", "path", "reason")
     )

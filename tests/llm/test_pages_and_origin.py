@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from hearthdex.llm.provenance import in_third_party, known_copies, layout, leading_comment, not_handwritten, says_generated, shared_subtrees, shingles, similarity, verdict
+from hearthdex.llm.provenance import Known, in_third_party, layout, leading_comment, not_handwritten, says_generated, shared_subtrees, shingles, signs, verdict
 from hearthdex.llm.stuffing import features, stuffed
 
 PROSE = "The index keeps every file that the watcher has seen, and it is read again when the hash differs. "
@@ -73,8 +74,15 @@ def test_parts():
     assert leading_comment("# a\n\n// b\n/* c\nd */\nx\n# e") == "# a\n\n// b\n/* c\nd */"
     assert says_generated("# Diese Datei wurde automatisch erzeugt (x).\nx = 1") and not says_generated("x = 1\n# @generated")
     assert in_third_party("node_modules/x.js") and not in_third_party("third/x.js")
-    a, b = shingles(HAND + "one two three four five six"), shingles(HAND)
-    assert similarity(a, b)[0] == 1.0 and similarity(a, shingles(""))[0] == 0.0 and len(shingles("one")) == 1
+    known = Known([shingles(HAND + "one two three four five six"), shingles(""), shingles("one")])
+    assert known.holds(shingles(HAND)) and known.holds(shingles("one")) and len(shingles("one")) == 1
+    assert not known.holds(shingles("")) and not known.holds(shingles("two")) and not known.holds(shingles(HAND[:40])) and not Known([]).holds(shingles(HAND))
+    for quiet in (
+        'Writes files that begin with\n// Code generated by x. DO NOT EDIT.\n', 'Looks for "@generated" in a header.\n', "The words `do not edit` stand in quotes.\n", "Emits tables. Do not edit the result.\n"
+    ):
+        assert not says_generated("// " + quiet + HAND), quiet
+    for said in ("Code generated by x. DO NOT EDIT. This file emits wire messages and writes them.\n", "Licence: it adds no duty.\n//\n// Code generated by x. DO NOT EDIT.\n", "<auto-generated>\n"):
+        assert says_generated("// " + said + HAND), said
     assert layout("", "rs")["lines"] == 0
 
 
@@ -116,20 +124,40 @@ def test_files(spark):
     assert not_handwritten(df.limit(0), upstream.limit(0)).count() == 0
 
 
+def leaves(spark, files):
+    df = spark.createDataFrame(files, "repo string, path string, text string")
+    return df.select("repo", "path", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(2), "text").alias("d2"))
+
+
 def test_shared_subtrees_count_forks_once(spark):
     def files(*repos, extra=""):
         return [(r, p, p + (extra if p == "z" else r if p == "own" else "")) for r in repos for p in ("lib/a", "lib/b", "own" if not extra else "z")]
 
-    df = spark.createDataFrame(files("p", "q", "s"), "repo string, path string, text string")
+    df = leaves(spark, files("p", "q", "s"))
     assert {tuple(r) for r in shared_subtrees(df).collect()} == {(r, "lib") for r in "pqs"}
-    forks = spark.createDataFrame(files("p", "q", "s", extra="same"), "repo string, path string, text string")
-    assert shared_subtrees(forks).count() == 0 and shared_subtrees(df.limit(0)).count() == 0
-
-
-def test_known_copies_of_nothing(spark):
-    files = spark.createDataFrame([], "repo string, path string, text string")
-    signs = spark.createDataFrame([], "repo string, path string, drawn array<long>")
-    assert known_copies(files, signs, spark.createDataFrame([("x",)], "text string")).count() == 0
+    assert shared_subtrees(leaves(spark, files("p", "q", "s", extra="same"))).count() == 0 and shared_subtrees(df.limit(0)).count() == 0
+
+
+def test_forks_are_told_by_their_contents(spark):
+    forks = [(r, p, p if p != "README" else r) for r in "pqs" for p in ["README", *(f"src/{d}/{i}" for d in "xy" for i in range(12))]]
+    assert shared_subtrees(leaves(spark, forks)).count() == 0
+    # beside two unrelated repositories that hold a part of them the part is shared
+    others = [(r, p, p if p.startswith("src/x") else p + r) for r in "tuvw" for p in [*(f"src/x/{i}" for i in range(12)), *(f"own/{i}" for i in range(12))]]
+    found = {tuple(r) for r in shared_subtrees(leaves(spark, forks + others)).collect()}
+    assert found == {(r, "src/x") for r in "pqstuvw"} | {(r, "src") for r in "tuvw"}
+    blank = [(r, f"a/{i}/__init__.py", "") for r in "pqs" for i in range(3)] + [(r, "own", r) for r in "pqs"]
+    assert shared_subtrees(leaves(spark, blank)).count() == 0
+    deep = [(r, "/".join(["d"] * 300 + ["f"]), r) for r in "pqs"] + [(r, f"lib/in/{i}", str(i)) for r in "pqs" for i in range(2)] + [(r, f"own/{i}", f"{r}{i}") for r in "pqs" for i in range(3)]
+    assert {tuple(r) for r in shared_subtrees(leaves(spark, deep)).collect()} == {(r, d) for r in "pqs" for d in ("lib", "lib/in")}
+
+
+def test_known_texts_by_index_and_by_join(spark):
+    texts = {"a.rs": body(7), "b.rs": body(7).replace("    return", "  return", 2), "c.rs": body(8), "d.rs": "fn f", "e.rs": "", "f.rs": "fn f g h", "g.rs": body(9)[:300] + body(8), "h.rs": " ".join(f"w{i}" for i in range(9))}
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()], "repo string, path string, text string")
+    known = spark.createDataFrame([(1, body(7)), (2, "fn f"), (3, None), (4, ""), (5, body(9)), (6, texts["h.rs"]), (7, body(7))], "id long, text string")
+    for bound in (10**6, 0):
+        assert {r["path"] for r in signs(files, known, bound).where("copy").collect()} == {"a.rs", "b.rs", "d.rs", "h.rs"}, bound
+        assert signs(files, known.limit(0), bound).where("copy").count() == 0 and signs(files.limit(0), known, bound).count() == 0
 
 
 def spanish(phrase, n=24, seed=1):
