@@ -4,8 +4,10 @@ Every document's text is cut into lines and runs between sentence ends. Each pie
 of: code (fenced, or by its signs), log or table line, sentence, link (addresses,
 anchors, breadcrumbs, hash tags) or loose words. A page is spam when most of its
 characters are bare links, or loose words that repeat and lack the function words that
-running text of its language has. What share of function words running text has is
-measured over all documents of a language.
+running text of its language has. What share of function words running text has, and how much
+it repeats itself, is measured over all documents of a language. Languages without a list of function words
+are told by their script, and their common words are learned from all documents' sentences; there loose words
+must repeat or be parted by separators as well.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hearthdex.session import materialized, spread
 
@@ -34,12 +36,21 @@ FUNCTION_WORDS = {
 #: Characters and endings that running Chinese and Japanese text uses for grammar. Fixed values.
 FUNCTION_SIGNS = {"zh": "的是在会了把要有没就不从可以这也每个约当时你如果但之前后到已被让给和与及或都还只才又于此该其他们我它什么为着过所因而则且", "ja": "はをがのにもでとまからすたんりいな"}
 
+#: First and last letters of scripts without a list above; Latin letters that its four languages lack. Fixed values.
+SCRIPTS = {"greek": "Ͱ-Ͽ", "cyrillic": "Ѐ-ԯ", "armenian": "԰-֏", "hebrew": "֐-׿", "arabic": "؀-ۿ", "devanagari": "ऀ-ॿ", "bengali": "ঀ-৿", "tamil": "஀-௿", "thai": "฀-๿", "georgian": "Ⴀ-ჿ", "hangul": "가-힣"}
+OTHER_LATIN = "ąćęłńśźżčďěňřšťůžğışőűåøæãõāēģīķļņūėįųđħŋþðăâîșț"
+
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+_SCRIPT = {k: re.compile(f"[{v}]+") for k, v in SCRIPTS.items()}
+_OTHER = re.compile("[\u0370-\u1fff\uac00-\ud7af" + OTHER_LATIN + "]")
+_OTHER_LATIN = re.compile(f"[{OTHER_LATIN}]")
+_SEPARATOR = re.compile(r"[,;|·•/、，；»›]")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>|\[([^\]\n]*)\]\([^)\n]*\)", re.I | re.S)
 _TAG = re.compile(r"<[^>\n]*>")
 _HASH = re.compile(r"#\w+")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+_MARKS = "\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0966-\u0dff\u0e31-\u0e4e"  # signs of vowels stand inside words
+_WORD = re.compile(rf"(?:[^\W_]+[{_MARKS}]*)+(?:['’][^\W_]+)?")
 _DIGITS = re.compile(r"\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
@@ -54,11 +65,22 @@ _BULLET = re.compile(r"^\s*(?:[-*+•]|\d+[.)])\s+")
 
 #: Words that loose text or sentences must have to be judged; most common words that count as top.
 LEAST_WORDS, TOP_WORDS = 12, 12
+#: Words from which repetition alone is judged, part of the letters by which a script is a text's, part of the letters
+#: that are no listed language's, and part of the function words below which a Latin text with those is of another language.
+FEW_WORDS, SCRIPT_SHARE, OTHER_SHARE, OTHER_GRAMMAR = 6, 0.5, 0.01, 0.1
+#: Common words of a document that count for learning, documents that a language needs for it, part of them that
+#: must have a word, and words learned at most.
+COMMON, LEARN_FROM, LEARN_SHARE, LEARNED = 30, 20, 0.25, 60
+#: Separators to loose words from which a text of an unknown language is a list of tags, and the different lines
+#: that so many lines have at most where they only say a phrase again.
+SEPARATORS, FEW_LINES, LEAST_LINES = 0.3, 2, 8
 #: Part of a language's usual share of function words below which text is no running text,
 #: and the usual share where no document of the language has running text.
 GRAMMAR, USUAL_GRAMMAR = 0.5, 0.3
 #: Loose words repeat when their top words have this share and at most this part is distinct.
 TOP_SHARE, DISTINCT = 0.45, 0.45
+#: Part of a language's usual top share that must be passed as well, and the usual distinct part by it.
+USUAL_PART = 0.85
 #: Share of the words that the most common pair or triple of words covers in stuffed text,
 #: how often it must come, and the part of the usual grammar below which sentences may be so.
 PHRASE, PHRASE_TIMES, PHRASE_GRAMMAR = 0.3, 4, 0.8
@@ -71,7 +93,7 @@ KINDS = ("code", "log", "sentence", "link", "loose")
 
 
 def language_of_words(words: list[str], text: str) -> tuple[str, int, int]:
-    """``language, words of grammar, words`` by which language's function words are the most."""
+    """``language, words of grammar, words`` by which language's function words are the most; ``x-`` and a script without a list."""
     cjk = len(_CJK.findall(text))
     if cjk * 2 > len(words) + cjk:
         kana = sum("\u3040" <= c <= "\u30ff" for c in text)
@@ -81,6 +103,14 @@ def language_of_words(words: list[str], text: str) -> tuple[str, int, int]:
     count = Counter(words)
     hits = {k: sum(n for w, n in count.items() if w in s) for k, s in _SETS.items()}
     name = max(hits, key=hits.get)
+    if _OTHER.search(text):
+        letters = max(1, sum(map(len, _LETTERS.findall(text))))
+        size = {k: sum(map(len, r.findall(text))) for k, r in _SCRIPT.items()}
+        script = max(size, key=size.get)
+        if size[script] > SCRIPT_SHARE * letters:
+            return f"x-{script}", 0, len(words)
+        if len(_OTHER_LATIN.findall(text)) >= OTHER_SHARE * letters and hits[name] < OTHER_GRAMMAR * len(words):
+            return "x-latin", 0, len(words)
     return name, hits[name], len(words)
 
 
@@ -175,11 +205,45 @@ def _key_phrase(words: list[str], count: Counter, function: frozenset[str]) -> t
     return _share(inside, len(words)), others
 
 
-def features(text: str) -> dict:
+def common_words(text: str) -> tuple[str, list[str]]:
+    """``language, words``: the most common words of a document's sentences, for a language without a list; else none."""
+    said = [piece.lower() for kind, piece in pieces(text) if kind == "sentence"]
+    words = _WORD.findall(" ".join(said))
+    language = language_of_words(words, " ".join(said))[0]
+    if not language.startswith("x-") or len(words) < LEAST_WORDS:
+        return "und", []
+    return language, [w for w, _ in Counter(words).most_common(COMMON)]
+
+
+def learned_words(df: DataFrame, text: str = "text") -> dict[str, frozenset[str]]:
+    """Common words of languages without a list, learned from the sentences of all documents; LEARNED a script at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [common_words(t) for t in pdf["text"]]
+            # the empty word counts the documents
+            rows = [(language, w) for language, words in found if words for w in ("", *words)]
+            yield pd.DataFrame(rows, columns=["language", "word"])
+
+    rows = df.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(_OTHER.pattern))
+    count = rows.mapInPandas(run, "language string, word string").groupBy("language", "word").agg(F.count("*").alias("n"))
+    count = materialized(count, "words")
+    enough = count.where((F.col("word") == "") & (F.col("n") >= LEARN_FROM)).select("language", F.col("n").alias("documents"))
+    best = count.where("word <> ''").join(enough, "language").where(F.col("n") >= LEARN_SHARE * F.col("documents"))
+    best = best.withColumn("rank", F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= LEARNED)
+    out: dict[str, set[str]] = {}
+    for r in best.select("language", "word").collect():  # LEARNED rows a script at most
+        out.setdefault(r["language"], set()).add(r["word"])
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+def features(text: str, learned: dict[str, frozenset[str]] | None = None) -> dict:
     """Numbers of one document; texts without words have zeros and the language ``und``.
 
-    Sizes are in characters, a Chinese or Japanese one counting as three.
+    Sizes are in characters, a Chinese or Japanese one counting as three. ``known`` tells whether the language's
+    function words are listed or ``learned``.
     """
+    sets = {**_SETS, **learned} if learned else _SETS
     size = dict.fromkeys(KINDS, 0)
     loose: list[str] = []
     said: list[str] = []
@@ -201,11 +265,13 @@ def features(text: str) -> dict:
     def grammar(words: list[str], t: str) -> tuple[int, int]:
         if language in FUNCTION_SIGNS:
             return sum(c in FUNCTION_SIGNS[language] for c in t), len(_CJK.findall(t))
-        known = _SETS[language]
+        known = sets.get(language, frozenset())
         return sum(w in known for w in words), len(words)
 
     out: dict = {k: size[k] for k in KINDS}
     out["language"] = language if loose_words or said_words else "und"
+    out["known"] = language in sets or language in FUNCTION_SIGNS
+    out["loose_separators"] = _share(len(_SEPARATOR.findall(loose_text)), len(loose_words))
     out["lines"], out["repeated_lines"] = sum(lines.values()), sum(lines.values()) - len(lines)
     for name, words, t in (("loose", loose_words, loose_text), ("sentence", said_words, said_text)):
         hits, n = grammar(words, t)
@@ -217,26 +283,27 @@ def features(text: str) -> dict:
         # function words inside a key phrase are no sign of running text; signs are no words, and a
         # sentence that comes again as a whole is no key phrase
         key, others = 0.0, words
-        if language in _SETS and words:
+        if language in sets and words:
             once = _WORD.findall(" ".join(dict.fromkeys(x.lower() for x in (loose if name == "loose" else said)))) if out["repeated_lines"] else words
-            key, others = _key_phrase(once, Counter(once) if once is not words else count, _SETS[language])
+            key, others = _key_phrase(once, Counter(once) if once is not words else count, sets[language])
         out[f"{name}_key"], out[f"{name}_outside"] = key, _share(*grammar(others, t)) if key else out[f"{name}_grammar"]
     return out
 
 
 _COLUMNS = ", ".join(
     [f"{k} long" for k in KINDS]
-    + ["language string", "lines long", "repeated_lines long"]
+    + ["language string", "known boolean", "loose_separators double", "lines long", "repeated_lines long"]
     + [f"{n}_{k}" for n in ("loose", "sentence") for k in ("words long", "grammar double", "top double", "distinct double", "phrase double", "key double", "outside double")]
 )
 
 
 def document_features(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """:func:`features` of each row; null texts count as empty."""
+    learned = learned_words(df, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = pd.DataFrame([features(t if isinstance(t, str) else "") for t in pdf["text"]])
+            rows = pd.DataFrame([features(t if isinstance(t, str) else "", learned) for t in pdf["text"]])
             yield pd.concat([pdf[["key"]].reset_index(drop=True), rows], axis=1)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -249,24 +316,36 @@ def stuffed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
     ``share`` is the part of such characters, ``kind`` is links or keywords, whichever is
     more. A language's documents with enough running text give, by their median share
-    of function words, what loose words and sentences must fall short of. Null, empty
-    and blank texts have no rows; rows that repeat each come out.
+    of function words, what loose words and sentences must fall short of, and by the medians
+    of their repetition what must be passed where the language repeats itself much by nature. Null, empty and blank texts have no rows; rows that repeat each come out.
     """
     rows = materialized(document_features(df, text, key), "pages")
+    running = F.col("sentence_words") >= 4 * LEAST_WORDS
     usual = rows.where(F.col("sentence_words") >= LEAST_WORDS).groupBy("language").agg(
-        F.percentile_approx("sentence_grammar", 0.5, 1000).alias("usual")
-    )  # a row per language of FUNCTION_WORDS and FUNCTION_SIGNS
+        F.percentile_approx("sentence_grammar", 0.5, 1000).alias("usual"),
+        F.percentile_approx(F.when(running, F.col("sentence_top")), 0.5, 1000).alias("top"),
+        F.percentile_approx(F.when(running, F.col("sentence_distinct")), 0.5, 1000).alias("distinct"),
+    )  # a row per language of FUNCTION_WORDS and FUNCTION_SIGNS, or script
     judged = rows.join(F.broadcast(usual), "language", "left").withColumn("usual", F.coalesce("usual", F.lit(USUAL_GRAMMAR)))
-    enough = F.col("loose_words") >= LEAST_WORDS
-    bare = F.col("loose_grammar") < F.col("usual") * GRAMMAR
-    again = (F.col("loose_top") >= TOP_SHARE) & (F.col("loose_distinct") <= DISTINCT) & (F.col("loose_grammar") < F.col("usual"))
-    phrase = F.col("loose_phrase") >= PHRASE
-    stuffed_loose = enough & (bare | again | phrase)
+    top_share = F.greatest(F.lit(TOP_SHARE), F.coalesce(USUAL_PART * F.col("top"), F.lit(0.0)))
+    distinct = F.least(F.lit(DISTINCT), F.coalesce(F.col("distinct") / USUAL_PART, F.lit(1.0)))
+    # of a language that nothing is known of any words may be the grammar
+    lacks = lambda c, part: ~F.col("known") | (F.col(c) < F.col("usual") * part)
+    listed = ~F.col("language").startswith("x-")
+    bare = listed & lacks("loose_grammar", GRAMMAR)
+    again = (F.col("loose_top") >= top_share) & (F.col("loose_distinct") <= distinct) & lacks("loose_grammar", 1)
+    # learned words are too few to tell a list by their absence alone
+    tags = ~listed & (F.col("loose_separators") >= SEPARATORS) & lacks("loose_grammar", GRAMMAR)
+    stuffed_loose = ((F.col("loose_words") >= LEAST_WORDS) & (bare | tags)) | (
+        (F.col("loose_words") >= FEW_WORDS) & (again | (F.col("loose_phrase") >= PHRASE))
+    )
+    said_again = (F.col("lines") >= LEAST_LINES) & (F.col("lines") - F.col("repeated_lines") <= FEW_LINES)
     stuffed_said = (F.col("sentence_words") >= LEAST_WORDS) & (
-        ((F.col("sentence_grammar") < F.col("usual") * GRAMMAR) & (F.col("sentence_top") >= TOP_SHARE) & (F.col("sentence_distinct") <= DISTINCT))
-        | ((F.col("sentence_phrase") >= PHRASE) & (F.col("sentence_grammar") < F.col("usual") * PHRASE_GRAMMAR))
-        | ((F.col("sentence_key") >= PHRASE) & (F.col("sentence_outside") < F.col("usual") * PHRASE_GRAMMAR))
-        | ((F.col("sentence_key") >= MOST) & (F.col("sentence_outside") < F.col("usual")))
+        (lacks("sentence_grammar", GRAMMAR) & (F.col("sentence_top") >= top_share) & (F.col("sentence_distinct") <= distinct))
+        | ((F.col("sentence_phrase") >= PHRASE) & lacks("sentence_grammar", PHRASE_GRAMMAR))
+        | ((F.col("sentence_key") >= PHRASE) & lacks("sentence_outside", PHRASE_GRAMMAR))
+        | ((F.col("sentence_key") >= MOST) & lacks("sentence_outside", 1))
+        | (said_again & lacks("sentence_grammar", PHRASE_GRAMMAR))
     )
     words = F.when(stuffed_loose, F.col("loose")).otherwise(0) + F.when(stuffed_said, F.col("sentence")).otherwise(0)
     total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthdex.llm.provenance import Known, in_third_party, layout, leading_comment, not_handwritten, says_generated, shared_subtrees, shingles, signs, verdict
-from hearthdex.llm.stuffing import features, stuffed
+from hearthdex.llm.stuffing import features, learned_words, stuffed
 
 PROSE = "The index keeps every file that the watcher has seen, and it is read again when the hash differs. "
 WORDS = ["code search", "file watcher", "vector database", "cheap", "best", "buy online", "discount", "free download"]
@@ -178,3 +178,36 @@ def test_key_phrases_that_hold_function_words(spark):
 def test_marks_below_a_long_licence():
     text = "/*\n" + " * Permission is granted to use the parts.\n" * 60 + " */\n// @generated by y\n" + HAND
     assert says_generated(text) and verdict("x.rs", text) == "generated" and not says_generated(HAND + text)
+
+
+#: Hand-written lists, and words for keywords, by language. None of the languages has a list of function words.
+ELSEWHERE = {
+    "korean": ("사과를 깨끗이 씻어서 준비하기\n냉장고에 남은 채소 정리하기\n내일 아침 회의 자료 다시 읽기\n도서관에 빌린 책 돌려주기\n부모님께 전화 드리고 안부 묻기", "검색 엔진 색인 도구 무료"),
+    "russian": ("Купить свежий хлеб и молоко для завтрака\nПозвонить врачу насчёт записи на среду\nПолить цветы на балконе вечером\nОтнести старые книги в библиотеку", "поиск кода индекс бесплатно скачать"),
+    "polish": ("Kupić świeży chleb i mleko na śniadanie\nZadzwonić do lekarza w sprawie wizyty\nPodlać kwiaty na balkonie wieczorem\nOddać książki do biblioteki przed piątkiem", "wyszukiwarka źródła tani indeks łatwy"),
+    "turkish": ("Sabah için taze ekmek ve süt almak\nÇarşamba günü doktoru aramayı unutma\nAkşam balkondaki çiçekleri sulamak\nKitapları kütüphaneye geri götürmek", "ucuz arama aracı ücretsiz dizin"),
+    "arabic": ("شراء الخبز الطازج والحليب للفطور\nالاتصال بالطبيب بشأن موعد الأربعاء\nسقي الزهور على الشرفة في المساء\nإعادة الكتب القديمة إلى المكتبة", "محرك بحث فهرس مجاني تحميل"),
+    "hindi": ("नाश्ते के लिए ताज़ी रोटी और दूध लाना\nबुधवार की बैठक के बारे में डॉक्टर को बताना\nशाम को बालकनी के पौधों को पानी देना\nपुरानी किताबें पुस्तकालय में लौटाना", "खोज इंजन सूची मुफ्त डाउनलोड"),
+}
+
+
+def test_languages_without_a_list_of_function_words(spark):
+    rng = random.Random(5)
+    rows = [(name, listed) for name, (listed, _) in ELSEWHERE.items()]
+    rows += [(f"{name} spam", " ".join(rng.choice(words.split()) for _ in range(80))) for name, (_, words) in ELSEWHERE.items()]
+    rows += [(f"{name} tags", ", ".join(x for x in listed.replace("\n", " ").split())) for name, (listed, _) in ELSEWHERE.items()]
+    rows += [("few", "cheap loans cheap loans cheap loans cheap loans"), ("title", "Vector database release notes index"), ("again", "Buy the cheap index of the best online shop now today.\n" * 12)]
+    rows += [(f"prose {i}", PROSE * 3 + str(i)) for i in range(5)]
+    found = {r["doc_id"] for r in stuffed(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == {f"{name} {kind}" for name in ELSEWHERE for kind in ("spam", "tags")} | {"few", "again"}
+
+
+def test_common_words_are_learned_from_all_documents(spark):
+    prose = "Мы пошли в лес и нашли там гриб, но он был не так велик. Потом {} и не мог найти дорогу в город."
+    rows = [(f"page {i}", prose.format(f"он шёл по улице номер {i}") * 2) for i in range(30)] + [("no", None), ("blank", " ")]
+    rng = random.Random(3)
+    rows += [("spam", " ".join(rng.choice("купить дешёвый телефон скидка акция доставка магазин новинка".split()) + str(i) for i in range(40))), ("list", ELSEWHERE["russian"][0] + "\nи не забыть о том, что в город он не шёл")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    words = learned_words(df)
+    assert set(words) == {"x-cyrillic"} and {"в", "и", "не"} <= words["x-cyrillic"] and learned_words(df.limit(0)) == {}
+    assert {r["doc_id"] for r in stuffed(df).collect()} == {"spam"}
