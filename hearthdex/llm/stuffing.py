@@ -49,8 +49,9 @@ _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]]+")
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>|\[([^\]\n]*)\]\([^)\n]*\)", re.I | re.S)
 _TAG = re.compile(r"<[^>\n]*>")
 _HASH = re.compile(r"#\w+")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _MARKS = "\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0966-\u0dff\u0e31-\u0e4e"  # signs of vowels stand inside words
-_WORD = re.compile(rf"(?:[^\W_]+[{_MARKS}]*)+(?:['’][^\W_]+)?")
+_ANY_MARK, _MARKED_WORD = re.compile(f"[{_MARKS}]"), re.compile(rf"(?:[^\W_]+[{_MARKS}]*)+(?:['’][^\W_]+)?")
 _DIGITS = re.compile(r"\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
@@ -205,45 +206,30 @@ def _key_phrase(words: list[str], count: Counter, function: frozenset[str]) -> t
     return _share(inside, len(words)), others
 
 
-def common_words(text: str) -> tuple[str, list[str]]:
-    """``language, words``: the most common words of a document's sentences, for a language without a list; else none."""
-    said = [piece.lower() for kind, piece in pieces(text) if kind == "sentence"]
-    words = _WORD.findall(" ".join(said))
-    language = language_of_words(words, " ".join(said))[0]
-    if not language.startswith("x-") or len(words) < LEAST_WORDS:
-        return "und", []
-    return language, [w for w, _ in Counter(words).most_common(COMMON)]
+def learned_words(pages: DataFrame) -> DataFrame:
+    """``language, learned``: common words of languages without a list, from all documents' sentences; LEARNED a script at most.
 
-
-def learned_words(df: DataFrame, text: str = "text") -> dict[str, frozenset[str]]:
-    """Common words of languages without a list, learned from the sentences of all documents; LEARNED a script at most."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [common_words(t) for t in pdf["text"]]
-            # the empty word counts the documents
-            rows = [(language, w) for language, words in found if words for w in ("", *words)]
-            yield pd.DataFrame(rows, columns=["language", "word"])
-
-    rows = df.select(F.col(text).cast("string").alias("text")).where(F.col("text").rlike(_OTHER.pattern))
-    count = rows.mapInPandas(run, "language string, word string").groupBy("language", "word").agg(F.count("*").alias("n"))
-    count = materialized(count, "words")
-    enough = count.where((F.col("word") == "") & (F.col("n") >= LEARN_FROM)).select("language", F.col("n").alias("documents"))
-    best = count.where("word <> ''").join(enough, "language").where(F.col("n") >= LEARN_SHARE * F.col("documents"))
-    best = best.withColumn("rank", F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= LEARNED)
-    out: dict[str, set[str]] = {}
-    for r in best.select("language", "word").collect():  # LEARNED rows a script at most
-        out.setdefault(r["language"], set()).add(r["word"])
-    return {k: frozenset(v) for k, v in out.items()}
-
-
-def features(text: str, learned: dict[str, frozenset[str]] | None = None) -> dict:
+    ``pages`` are :func:`document_features`. A row a script, and none for scripts with too few documents.
+    """
+    rows = pages.where(F.col("said_words").isNotNull() & (F.col("sentence_words") >= LEAST_WORDS))
+    entries = F.map_entries("said_words")
+    most = F.slice(F.reverse(F.array_sort(F.transform(entries, lambda x: F.struct(x["value"].alias("n"), x["key"].alias("w"))))), 1, COMMON)
+    words = rows.select("language", F.explode(F.array_append(F.transform(most, lambda x: x["w"]), "")).alias("word"))  # the empty word counts the documents
+    count = words.groupBy("language", "word").agg(F.count("*").alias("n"))
+    order = W.partitionBy("language").orderBy((F.col("word") != ""), F.desc("n"), "word")
+    best = count.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEARNED + 1)
+    per = best.groupBy("language").agg(F.max(F.when(F.col("word") == "", F.col("n"))).alias("documents"), F.collect_list(F.struct("word", "n")).alias("all"))
+    often = F.filter("all", lambda x: (x["word"] != "") & (x["n"] >= LEARN_SHARE * F.col("documents")))
+    return per.where(F.col("documents") >= LEARN_FROM).select("language", F.transform(often, lambda x: x["word"]).alias("learned"))
+
+
+def features(text: str) -> dict:
     """Numbers of one document; texts without words have zeros and the language ``und``.
 
-    Sizes are in characters, a Chinese or Japanese one counting as three. ``known`` tells whether the language's
-    function words are listed or ``learned``.
+    Sizes are in characters, a Chinese or Japanese one counting as three. Texts of languages
+    without a list of function words have their words counted in ``loose_counts`` and ``said_words``.
     """
-    sets = {**_SETS, **learned} if learned else _SETS
+    word = _MARKED_WORD if _ANY_MARK.search(text) else _WORD
     size = dict.fromkeys(KINDS, 0)
     loose: list[str] = []
     said: list[str] = []
@@ -259,18 +245,19 @@ def features(text: str, learned: dict[str, frozenset[str]] | None = None) -> dic
             continue
         lines[piece.lower()] += 1
     loose_text, said_text = " ".join(loose).lower(), " ".join(said).lower()
-    loose_words, said_words = _WORD.findall(loose_text), _WORD.findall(said_text)
+    loose_words, said_words = word.findall(loose_text), word.findall(said_text)
     language, _, _ = language_of_words(loose_words + said_words, loose_text + said_text)
 
     def grammar(words: list[str], t: str) -> tuple[int, int]:
         if language in FUNCTION_SIGNS:
             return sum(c in FUNCTION_SIGNS[language] for c in t), len(_CJK.findall(t))
-        known = sets.get(language, frozenset())
+        known = _SETS.get(language, frozenset())
         return sum(w in known for w in words), len(words)
 
     out: dict = {k: size[k] for k in KINDS}
     out["language"] = language if loose_words or said_words else "und"
-    out["known"] = language in sets or language in FUNCTION_SIGNS
+    foreign = language.startswith("x-")
+    out["loose_counts"], out["said_words"] = (dict(Counter(x)) if foreign else None for x in (loose_words, said_words))
     out["loose_separators"] = _share(len(_SEPARATOR.findall(loose_text)), len(loose_words))
     out["lines"], out["repeated_lines"] = sum(lines.values()), sum(lines.values()) - len(lines)
     for name, words, t in (("loose", loose_words, loose_text), ("sentence", said_words, said_text)):
@@ -283,27 +270,26 @@ def features(text: str, learned: dict[str, frozenset[str]] | None = None) -> dic
         # function words inside a key phrase are no sign of running text; signs are no words, and a
         # sentence that comes again as a whole is no key phrase
         key, others = 0.0, words
-        if language in sets and words:
-            once = _WORD.findall(" ".join(dict.fromkeys(x.lower() for x in (loose if name == "loose" else said)))) if out["repeated_lines"] else words
-            key, others = _key_phrase(once, Counter(once) if once is not words else count, sets[language])
+        if language in _SETS and words:
+            once = word.findall(" ".join(dict.fromkeys(x.lower() for x in (loose if name == "loose" else said)))) if out["repeated_lines"] else words
+            key, others = _key_phrase(once, Counter(once) if once is not words else count, _SETS[language])
         out[f"{name}_key"], out[f"{name}_outside"] = key, _share(*grammar(others, t)) if key else out[f"{name}_grammar"]
     return out
 
 
 _COLUMNS = ", ".join(
     [f"{k} long" for k in KINDS]
-    + ["language string", "known boolean", "loose_separators double", "lines long", "repeated_lines long"]
+    + ["language string", "loose_counts map<string,int>", "said_words map<string,int>", "loose_separators double", "lines long", "repeated_lines long"]
     + [f"{n}_{k}" for n in ("loose", "sentence") for k in ("words long", "grammar double", "top double", "distinct double", "phrase double", "key double", "outside double")]
 )
 
 
 def document_features(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """:func:`features` of each row; null texts count as empty."""
-    learned = learned_words(df, text)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = pd.DataFrame([features(t if isinstance(t, str) else "", learned) for t in pdf["text"]])
+            rows = pd.DataFrame([features(t if isinstance(t, str) else "") for t in pdf["text"]])
             yield pd.concat([pdf[["key"]].reset_index(drop=True), rows], axis=1)
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -320,6 +306,13 @@ def stuffed(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     of their repetition what must be passed where the language repeats itself much by nature. Null, empty and blank texts have no rows; rows that repeat each come out.
     """
     rows = materialized(document_features(df, text, key), "pages")
+    rows = rows.join(F.broadcast(learned_words(rows)), "language", "left")  # a row a script
+    part = lambda counts, words: F.coalesce(F.aggregate(
+        F.map_values(F.map_filter(counts, lambda w, n: F.array_contains("learned", w))), F.lit(0), lambda a, n: a + n) / F.greatest(F.col(words), F.lit(1)), F.lit(0.0))
+    for name, counts in (("loose", "loose_counts"), ("sentence", "said_words")):
+        for column in (f"{name}_grammar", f"{name}_outside"):
+            rows = rows.withColumn(column, F.when(F.col("learned").isNotNull(), part(counts, f"{name}_words")).otherwise(F.col(column)))
+    rows = rows.withColumn("known", ~F.col("language").startswith("x-") | F.col("learned").isNotNull())
     running = F.col("sentence_words") >= 4 * LEAST_WORDS
     usual = rows.where(F.col("sentence_words") >= LEAST_WORDS).groupBy("language").agg(
         F.percentile_approx("sentence_grammar", 0.5, 1000).alias("usual"),

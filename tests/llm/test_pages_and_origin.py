@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthdex.llm.provenance import Known, in_third_party, layout, leading_comment, not_handwritten, says_generated, shared_subtrees, shingles, signs, verdict
-from hearthdex.llm.stuffing import features, learned_words, stuffed
+from hearthdex.llm.stuffing import document_features, features, learned_words, stuffed
 
 PROSE = "The index keeps every file that the watcher has seen, and it is read again when the hash differs. "
 WORDS = ["code search", "file watcher", "vector database", "cheap", "best", "buy online", "discount", "free download"]
@@ -206,8 +206,8 @@ def test_common_words_are_learned_from_all_documents(spark):
     prose = "Мы пошли в лес и нашли там гриб, но он был не так велик. Потом {} и не мог найти дорогу в город."
     rows = [(f"page {i}", prose.format(f"он шёл по улице номер {i}") * 2) for i in range(30)] + [("no", None), ("blank", " ")]
     rng = random.Random(3)
-    rows += [("spam", " ".join(rng.choice("купить дешёвый телефон скидка акция доставка магазин новинка".split()) + str(i) for i in range(40))), ("list", ELSEWHERE["russian"][0] + "\nи не забыть о том, что в город он не шёл")]
+    rows += [("spam", " ".join(rng.choice("купить дешёвый телефон скидка акция доставка магазин новинка".split()) for i in range(40))), ("list", ELSEWHERE["russian"][0] + "\nи не забыть о том, что в город он не шёл")]
     df = spark.createDataFrame(rows, "doc_id string, text string")
-    words = learned_words(df)
-    assert set(words) == {"x-cyrillic"} and {"в", "и", "не"} <= words["x-cyrillic"] and learned_words(df.limit(0)) == {}
+    words = {r["language"]: set(r["learned"]) for r in learned_words(document_features(df)).collect()}
+    assert set(words) == {"x-cyrillic"} and {"в", "и", "не"} <= words["x-cyrillic"] and learned_words(document_features(df.limit(0))).count() == 0
     assert {r["doc_id"] for r in stuffed(df).collect()} == {"spam"}
