@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hearthdex.functions.paths import clean_path, packed_digest
 
-#: Bits of the key hash that name a leaf, and bits between a level and the next.
-LEAF_BITS = 16
-FANOUT_BITS = 8
+#: Bits between a level and the next, rows that a leaf of the largest snapshot should have, and bits of a leaf at most.
+FANOUT_BITS = 4
+LEAF_ROWS = 32
+MOST_BITS = 48
 
 
 def consecutive(snapshots: DataFrame) -> DataFrame:
@@ -70,7 +71,13 @@ def _sides(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return sided.select("*", "side.no", "side.later").drop("side").where("no is not null")
 
 
-def merkle_levels(rows: DataFrame, leaf_bits: int = LEAF_BITS, fanout_bits: int = FANOUT_BITS) -> list[DataFrame]:
+def leaf_bits_for(rows: int, fanout_bits: int = FANOUT_BITS) -> int:
+    """Bits of the key hash that name a leaf, a multiple of ``fanout_bits``, for snapshots of up to ``rows`` rows."""
+    leaves = max(1, rows // LEAF_ROWS)
+    return min(max(1, -(-(leaves - 1).bit_length() // fanout_bits)) * fanout_bits, MOST_BITS // fanout_bits * fanout_bits)
+
+
+def merkle_levels(rows: DataFrame, leaf_bits: int, fanout_bits: int = FANOUT_BITS) -> list[DataFrame]:
     """Node tables ``repo, no, node, n, d1, d2`` from the root level to the leaves."""
     level = (
         rows.groupBy("repo", "no", F.shiftrightunsigned(F.xxhash64("path"), 64 - leaf_bits).alias("node"))
@@ -118,7 +125,7 @@ def differing_leaves(levels: list[DataFrame], pairs: DataFrame, fanout_bits: int
     return unequal
 
 
-def snapshot_changes(states: DataFrame, snapshots: DataFrame, leaf_bits: int = LEAF_BITS, fanout_bits: int = FANOUT_BITS) -> DataFrame:
+def snapshot_changes(states: DataFrame, snapshots: DataFrame, leaf_bits: int | None = None, fanout_bits: int = FANOUT_BITS) -> DataFrame:
     """``repo, snapshot_no, path, kind`` of each change between consecutive complete snapshots.
 
     ``states`` has ``repo, snapshot_no, path, hash, loaded_at`` and ``snapshots`` has
@@ -126,8 +133,12 @@ def snapshot_changes(states: DataFrame, snapshots: DataFrame, leaf_bits: int = L
     removed or changed; a move is one removed and one added path. A repo's first
     complete snapshot has no rows; a complete snapshot without states means that
     all files are gone. Rows with a null repo, number or path are ignored, empty
-    tables give an empty result. ``leaf_bits`` must be a multiple of ``fanout_bits``.
+    tables give an empty result. ``leaf_bits`` must be a multiple of ``fanout_bits``;
+    without it the rows of the largest snapshot give it, so leaves are far fewer than rows.
     """
+    if leaf_bits is None:
+        most = states.groupBy("repo", "snapshot_no").count().agg(F.max("count")).first()[0]
+        leaf_bits = leaf_bits_for(most or 0, fanout_bits)
     if leaf_bits % fanout_bits or not 0 < leaf_bits <= 48:
         raise ValueError("leaf_bits must be a positive multiple of fanout_bits, 48 at most")
     pairs = consecutive(snapshots)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from hearthdex.operators.snapshot_diff import snapshot_changes
+from hearthdex.operators.snapshot_diff import leaf_bits_for, snapshot_changes
 
 STATES = "repo string, snapshot_no int, path string, hash string, n_bytes long, loaded_at timestamp, status string, node long"
 SNAPSHOTS = "repo string, snapshot_no int, taken_at timestamp, status string, path string"
@@ -82,3 +82,8 @@ def test_late_rows_nulls_and_moves(spark):
 def test_empty_tables(spark):
     assert run(spark, [], []) == set()
     assert run(spark, [], [("r", 1, T0, "complete", None), ("r", 2, T0, "complete", None)]) == set()
+
+
+def test_leaves_by_the_rows_of_the_largest_snapshot():
+    assert [leaf_bits_for(n) for n in (0, 1, 32, 64, 600, 6_000, 10**9)] == [4, 4, 4, 4, 8, 8, 28]
+    assert leaf_bits_for(10**9, 8) == 32 and leaf_bits_for(10**30) == 48 and leaf_bits_for(10**30, 5) == 45
