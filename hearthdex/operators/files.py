@@ -14,16 +14,17 @@ def current_files(chunks: DataFrame) -> DataFrame:
     once, joined in order. Rows that repeat count once; of rows that differ only in
     their text the greatest text counts. A null ``indexed_at`` is older than any
     other; a null ``chunk_index`` comes first; a null text is empty. Rows with a null
-    ``repo`` or ``path`` are ignored. One shuffle, by file.
+    ``repo`` or ``path`` are ignored. The latest time of each file is found without its texts, so
+    older versions are dropped before any text is shuffled or gathered.
     """
-    piece = F.struct(F.col("indexed_at").alias("at"), F.col("chunk_index").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = chunks.where("repo is not null and path is not null")
+    newest = rows.groupBy("repo", "path").agg(F.max("indexed_at").alias("newest"))
+    piece = F.struct(F.col("chunk_index").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     files = (
-        chunks.where("repo is not null and path is not null")
+        rows.join(newest, ["repo", "path"]).where(F.col("indexed_at").eqNullSafe(F.col("newest"))).select("repo", "path", piece.alias("piece"))
         .repartition(shuffle_partitions(chunks.sparkSession), "repo", "path")  # else small shuffles become one task
         .groupBy("repo", "path")
-        .agg(F.max("indexed_at").alias("at"), F.collect_set(piece).alias("pieces"))
+        .agg(F.array_sort(F.collect_set("piece")).alias("p"))
     )
-    now = F.array_sort(F.filter("pieces", lambda x: x["at"].eqNullSafe(F.col("at"))))
-    files = files.select("repo", "path", now.alias("p"))
     last = F.filter("p", lambda x, n: (n == F.size("p") - 1) | ~F.get("p", n + 1)["i"].eqNullSafe(x["i"]))
     return files.select("repo", "path", F.array_join(F.transform(last, lambda x: x["t"]), "").alias("text"))
