@@ -22,7 +22,7 @@ from hearthdex.embedding.endpoint import HttpEmbedder
 from hearthdex.embedding.stage import embed_files
 from hearthdex.functions.globs import is_excluded, is_language_allowed, resolve_excludes
 from hearthdex.functions.paths import extension, language_of
-from hearthdex.operators.delta import delta
+from hearthdex.operators.delta import delta, in_order
 from hearthdex.operators.islands import merged
 from hearthdex.operators.knn import nearest
 from hearthdex.operators.select import distilled, focus_why
@@ -130,7 +130,7 @@ class Engine:
     def _reconcile(self) -> Summary:
         current = materialized(scan(self.spark, self.config.repo_root, self.excludes), "scan")
         stored = self.index.files().withColumnRenamed("file_hash", "hash")
-        changes = materialized(delta(current, stored), "delta")
+        changes = materialized(in_order(delta(current, stored)), "delta")
         work = changes.where("kind = 'changed'").join(current, "path").where(
             is_language_allowed(extension(F.col("path")), language_of(F.col("path")), self.config.languages)
         ).select("path", "hash")

@@ -38,8 +38,8 @@ def overall(checks: list[Check]) -> str:
 def render(checks: list[Check]) -> str:
     state = overall(checks)
     fails = sum(c.status == "fail" for c in checks)
-    head = f"FAIL — {fails} of {len(checks)} checks failed" if state == "fail" else state.upper()
-    return f"hearthdex diagnostics: {head}\n" + "".join(f"  [{c.status.upper()}] {c.name}: {c.detail}\n" for c in checks)
+    head = f"FAIL, {fails} of {len(checks)}" if state == "fail" else state.upper()
+    return f"Health of hearthdex: {head}\n" + "".join(f"  [{c.status.upper()}] {c.name}: {c.detail}\n" for c in checks)
 
 
 def diagnose(config: Config, engine: Engine | None, error: str = "") -> list[Check]:
@@ -50,16 +50,16 @@ def diagnose(config: Config, engine: Engine | None, error: str = "") -> list[Che
         Check("config", "pass", f"set: {', '.join(names)}" if names else "built-in settings"),
     ]
     if engine is None:
-        skipped = [Check(n, "fail", "skipped — engine unavailable") for n in ("index", "query", "limits", "reconcile", "watcher")]
-        return [*out, Check("embedder", "fail", error or "unavailable"), *skipped]
+        skipped = [Check(n, "fail", "not checked without an engine") for n in ("index", "query", "limits", "reconcile", "watcher")]
+        return [*out, Check("embedder", "fail", error or "not there"), *skipped]
     out.append(Check("embedder", "pass", f"{engine.embedder.id}, {engine.embedder.dim} numbers"))
     try:
         n = engine.search("function definition", 1).count()
-        query = Check("query", "pass", f"sample query returned {n} result(s)") if n else Check("query", "warn", "sample query returned no matches")
+        query = Check("query", "pass", f"a test search found {n}") if n else Check("query", "warn", "a test search found nothing")
     except Exception as x:  # noqa: BLE001 - a report must not fail
-        query = Check("query", "fail", f"sample query failed: {x}")
+        query = Check("query", "fail", f"a test search failed: {x}")
     files, chunks = engine.index.stats()
-    out.append(Check("index", "pass" if chunks else "fail", f"{files} files, {chunks} chunks" + ("" if chunks else " — nothing indexed")))
+    out.append(Check("index", "pass" if chunks else "fail", f"{files} files, {chunks} chunks" + ("" if chunks else "; the index is empty")))
     out.append(query)
     probed = engine.embedder.max_input_tokens
     window = f"context window {probed} tokens ({engine.embedder.caps_source})" if probed else f"context window not reported, {config.embedder.max_chunk_tokens} tokens assumed"

@@ -30,3 +30,8 @@ def delta(current: DataFrame, stored: DataFrame, keys: Sequence[str] = ("path",)
         F.col("_in_old").isNull() | ~F.col("_now").eqNullSafe(F.col("_old")), "changed"
     )
     return now.join(old, list(keys), "full_outer").select(*keys, kind.alias("kind")).where("kind is not null")
+
+
+def in_order(rows: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
+    """Rows of a difference by key, for those who list or work it off; a full sort, so only where the order is wanted."""
+    return rows.orderBy(*keys)

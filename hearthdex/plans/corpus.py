@@ -61,11 +61,10 @@ def exclude_chunks(spark, sf_dir):
 def _two(spark, sf_dir):
     """The last complete snapshot of each repo as what is there, the one before as what is stored."""
     pairs = consecutive(table(spark, sf_dir, "snapshots"))
-    rows = settled(table(spark, sf_dir, "file_states"), pairs).withColumn("hash", F.lower(F.hex("digest")))
-    last = pairs.where("next_no is null").select("repo", "no", "prev_no")
-    current = rows.join(last.select("repo", "no"), ["repo", "no"]).select(*FILE, "hash")
-    stored = rows.join(last.select("repo", F.col("prev_no").alias("no")), ["repo", "no"]).select(*FILE, "hash")
-    return current, stored
+    last = pairs.where("next_no is null").select("repo", F.col("no").alias("last"), F.explode(F.array("no", "prev_no")).alias("no")).where("no is not null")
+    # only rows of the two snapshots are settled, once for both
+    rows = settled(table(spark, sf_dir, "file_states"), last).join(last, ["repo", "no"]).select(*FILE, F.lower(F.hex("digest")).alias("hash"), (F.col("no") == F.col("last")).alias("current"))
+    return rows.where("current").drop("current"), rows.where("not current").drop("current")
 
 
 def delta_changed(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hearthdex.embedding.base import byte_sums
 from hearthdex.embedding.batching import batch_ids
 from hearthdex.functions.globs import excludes_regex, is_excluded, resolve_excludes
-from hearthdex.functions.vectors import norm, normalized
+from hearthdex.functions.vectors import cosine, literal, norm, normalized
 from hearthdex.operators.islands import merged
 from hearthdex.operators.knn import nearest, nearest_many
 from hearthdex.operators.select import distilled, focus_why, ranked, relevance_floor, rendered, token_budget
@@ -62,12 +62,19 @@ def _chunk_query(spark, sf_dir):
 
 
 def _searched(spark, sf_dir):
-    """The K best current chunks for that query, whatever their path."""
-    rows = table(spark, sf_dir, "chunks").select("chunk_id", "repo", "path", "start_line", "end_line", "chunk_index", "language", "symbol", "text", "vector", "indexed_at")
-    newest = rows.groupBy("repo", "path").agg(F.max("indexed_at").alias("indexed_at"))
-    now = rows.join(newest, ["repo", "path", "indexed_at"]).drop("indexed_at").dropDuplicates(["chunk_id"])
+    """The K best current chunks for that query, whatever their path.
+
+    Vectors become scores in the scan; ids and scores alone are joined, made distinct and
+    ranked, and the texts of the K winners are fetched.
+    """
+    chunks = table(spark, sf_dir, "chunks")
+    scored = chunks.select("chunk_id", "repo", "path", "chunk_index", "indexed_at", cosine(F.col("vector"), literal(_chunk_query(spark, sf_dir))).alias("score"))
+    newest = chunks.groupBy("repo", "path").agg(F.max("indexed_at").alias("indexed_at"))
     # a search is within one tree: the repository is part of the path
-    return nearest(now.withColumn("path", F.concat_ws("/", "repo", "path")), _chunk_query(spark, sf_dir), K, "vector", ("path", "chunk_index")).withColumn("score", F.round("score", 6))
+    now = scored.join(newest, ["repo", "path", "indexed_at"]).dropDuplicates(["chunk_id"]).select("chunk_id", F.concat_ws("/", "repo", "path").alias("path"), "chunk_index", "score")
+    best = now.orderBy(F.desc("score"), "path", "chunk_index").limit(K)
+    parts = chunks.select("chunk_id", "start_line", "end_line", "language", "symbol", "text")
+    return parts.join(F.broadcast(best), "chunk_id").dropDuplicates(["chunk_id"]).withColumn("score", F.round("score", 6))
 
 
 def post_limit_exclude(spark, sf_dir):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from hearthdex.functions.globs import excludes_regex
-from hearthdex.sources.ignore import find_repository, is_ignored, read_rules
+from hearthdex.sources.ignore import find_repository, is_ignored, read_rules, rules_above
 
 
 def walk(root: str, excludes: Iterable[str] = ()) -> Iterator[str]:
@@ -24,21 +24,14 @@ def walk(root: str, excludes: Iterable[str] = ()) -> Iterator[str]:
 
     Hidden names, symbolic links and what ignore files name are left out, and what the
     patterns match; excluded folders aren't entered. Ignore files of folders above the root
-    count up to the repository's.
+    count up to the repository's, and so do the repository's own list and the user's.
     """
     excluded = re.compile(excludes_regex(excludes)).match
     repository = find_repository(root)
-    above = []
-    if repository:
-        info = os.path.join(repository, ".git", "info", "exclude")
-        if os.path.isfile(info):
-            with open(info, encoding="utf-8", errors="replace") as f:
-                from hearthdex.sources.ignore import parse_rules
-
-                above += parse_rules(f.read(), "")
+    above, where = rules_above(root, repository)
 
     def visit(folder: str, base: str, rules: list) -> Iterator[str]:
-        rules = rules + read_rules(folder, base, repository is not None)
+        rules = rules + read_rules(folder, (where + base).rstrip("/"), repository is not None)
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
@@ -49,7 +42,7 @@ def walk(root: str, excludes: Iterable[str] = ()) -> Iterator[str]:
                 if entry.name.startswith(".") or entry.is_symlink():
                     continue
                 is_folder = entry.is_dir()
-                if is_ignored(path, is_folder, rules) or excluded(path):
+                if is_ignored(where + path, is_folder, rules) or excluded(path):
                     continue
                 if is_folder:
                     yield from visit(entry.path, path, rules)

@@ -11,7 +11,7 @@ from hearthdex.functions.globs import glob_regex
 
 @dataclass(frozen=True)
 class Rule:
-    """One line of an ignore file; ``base`` is its folder, relative to the root."""
+    """One line of an ignore file; ``base`` is its folder, relative to the repository, or to the root outside one."""
 
     base: str
     regex: re.Pattern
@@ -38,7 +38,7 @@ def parse_rules(text: str, base: str) -> list[Rule]:
 
 
 def is_ignored(path: str, is_folder: bool, rules: list[Rule]) -> bool:
-    """The last rule that matches decides; ``path`` is relative to the root, with ``/``."""
+    """The last rule that matches decides; ``path`` is relative to what the rules' bases are, with ``/``."""
     for rule in reversed(rules):
         if rule.folders_only and not is_folder:
             continue
@@ -69,3 +69,42 @@ def find_repository(start: str) -> str | None:
         if os.path.dirname(at) == at:
             return None
         at = os.path.dirname(at)
+
+
+def _rules_of(at: str, base: str = "") -> list[Rule]:
+    try:
+        with open(at, encoding="utf-8", errors="replace") as f:
+            return parse_rules(f.read(), base)
+    except OSError:
+        return []
+
+
+def user_list() -> str:
+    """The user's list of ignored files: as their settings name it, else at its usual place."""
+    home = os.path.expanduser("~")
+    folder = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    for settings in (os.path.join(home, ".gitconfig"), os.path.join(folder, "git", "config")):
+        try:
+            with open(settings, encoding="utf-8", errors="replace") as f:
+                named = re.search(r"^\s*excludesfile\s*=\s*\"?([^\"\n]+?)\"?\s*$", f.read(), re.M | re.I)
+        except OSError:
+            continue
+        if named:
+            return os.path.expanduser(named[1])
+    return os.path.join(folder, "git", "ignore")
+
+
+def rules_above(root: str, repository: str | None) -> tuple[list[Rule], str]:
+    """Rules that hold at ``root`` before its own, weakest first, and the root's place in the repository with ``/`` behind it.
+
+    They are the user's list, the repository's own and the ignore files of the folders from the repository down
+    to above the root. Their paths are relative to the repository. Outside a repository there are none.
+    """
+    if repository is None:
+        return [], ""
+    inside = os.path.relpath(os.path.realpath(root), os.path.realpath(repository))
+    parts = [] if inside == "." else inside.split(os.sep)
+    rules = _rules_of(user_list()) + _rules_of(os.path.join(repository, ".git", "info", "exclude"))
+    for n in range(len(parts)):
+        rules += read_rules(os.path.join(repository, *parts[:n]), "/".join(parts[:n]), True)
+    return rules, "".join(f"{p}/" for p in parts)

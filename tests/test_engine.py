@@ -184,7 +184,7 @@ def test_health_and_tools(spark, tmp_path):
     assert overall(checks) == "warn" and "[PASS] index: 1 files, 1 chunks" in render(checks)
     assert report(engine).count() == 8
     assert overall(diagnose(engine.config, None, "down")) == "fail" and overall([]) == "pass"
-    assert render([Check("x", "fail", "y"), Check("z", "pass", "w")]).startswith("hearthdex diagnostics: FAIL — 1 of 2 checks failed\n")
+    assert render([Check("x", "fail", "y"), Check("z", "pass", "w")]).startswith("Health of hearthdex: FAIL, 1 of 2\n")
 
     made = []
 
@@ -202,7 +202,7 @@ def test_health_and_tools(spark, tmp_path):
     assert call("search", query="fn a() {}") == "error: not yet"
     assert call("search", query="fn a() {}").startswith("a.rs:1-1 [a]")
     assert call("read_file", path="../x").startswith("error: ") and call("read_file", path="a.rs").startswith("a.rs:1-1 [a] (outline)")
-    assert "diagnostics" in call("diagnostics") and call("none") == "error: no tool none"
+    assert "Health of" in call("diagnostics") and call("none") == "error: no tool none"
     out = io.StringIO()
     serve(lazy, engine.config, io.StringIO('nonsense\n{"method":"note"}\n{"id":2,"method":"ping"}\n{"id":3,"method":"x"}\n'), out)
     replies = [json.loads(x) for x in out.getvalue().splitlines()]
