@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from hearthdex.functions.paths import clean_path, packed_digest
 
 #: Bits between a level and the next, rows that a leaf of the largest snapshot should have, and bits of a leaf at most.
-FANOUT_BITS = 4
+FANOUT_BITS = 8
 LEAF_ROWS = 32
 MOST_BITS = 48
 

@@ -85,5 +85,5 @@ def test_empty_tables(spark):
 
 
 def test_leaves_by_the_rows_of_the_largest_snapshot():
-    assert [leaf_bits_for(n) for n in (0, 1, 32, 64, 600, 6_000, 10**9)] == [4, 4, 4, 4, 8, 8, 28]
-    assert leaf_bits_for(10**9, 8) == 32 and leaf_bits_for(10**30) == 48 and leaf_bits_for(10**30, 5) == 45
+    assert [leaf_bits_for(n) for n in (0, 1, 600, 6_000, 10**6, 10**9)] == [8, 8, 8, 8, 16, 32]
+    assert leaf_bits_for(10**9, 4) == 28 and leaf_bits_for(10**30) == 48 and leaf_bits_for(10**30, 5) == 45
