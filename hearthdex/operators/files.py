@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hearthdex.session import shuffle_partitions
 
@@ -14,15 +14,15 @@ def current_files(chunks: DataFrame) -> DataFrame:
     once, joined in order. Rows that repeat count once; of rows that differ only in
     their text the greatest text counts. A null ``indexed_at`` is older than any
     other; a null ``chunk_index`` comes first; a null text is empty. Rows with a null
-    ``repo`` or ``path`` are ignored. The latest time of each file is found without its texts, so
-    older versions are dropped before any text is shuffled or gathered.
+    ``repo`` or ``path`` are ignored. One shuffle, by file; older versions are dropped there, by a
+    window that can spill, before texts are gathered.
     """
-    rows = chunks.where("repo is not null and path is not null")
-    newest = rows.groupBy("repo", "path").agg(F.max("indexed_at").alias("newest"))
     piece = F.struct(F.col("chunk_index").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     files = (
-        rows.join(newest, ["repo", "path"]).where(F.col("indexed_at").eqNullSafe(F.col("newest"))).select("repo", "path", piece.alias("piece"))
+        chunks.where("repo is not null and path is not null")
         .repartition(shuffle_partitions(chunks.sparkSession), "repo", "path")  # else small shuffles become one task
+        .withColumn("newest", F.max("indexed_at").over(W.partitionBy("repo", "path")))
+        .where(F.col("indexed_at").eqNullSafe(F.col("newest"))).select("repo", "path", piece.alias("piece"))
         .groupBy("repo", "path")
         .agg(F.array_sort(F.collect_set("piece")).alias("p"))
     )
