@@ -124,8 +124,8 @@ def packed(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
     and have no row. An item longer than ``capacity`` is cut into full pieces, each a
     container of its own, and one last piece that is packed like an item; no other
     item is cut. Rows that repeat are items of their own; a null ``key`` is kept.
-    Items are spread over groups by a hash of key and size, about ``group_items`` each; each
-    group is packed by one task.
+    Items are spread over groups by a hash of key, size and place in the written table, about ``group_items`` each, so
+    keys that many items share, null too, meet in no one group; each group is packed by one task.
     """
     if capacity < 1 or group_items < 1:
         raise ValueError("capacity and group_items must be positive")
@@ -135,7 +135,7 @@ def packed(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
     groups = max(1, -(-rows.count() // group_items))
     kind = rows.schema["key"].dataType.simpleString()
     return (
-        rows.withColumn("grp", F.pmod(F.xxhash64("key", "n_tokens"), F.lit(groups)))
+        rows.withColumn("grp", F.pmod(F.xxhash64("key", "n_tokens", F.monotonically_increasing_id()), F.lit(groups)))
         .groupBy("grp")
         .applyInPandas(_pack(capacity), f"container_id long, key {kind}, piece long, first_token long, n_tokens long")
         .withColumnRenamed("key", key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import random
 
 import numpy as np
@@ -87,3 +89,11 @@ def test_packing(spark):
     total = sum(n or 0 for _, n in rows)
     assert len(used) <= 1.05 * total / 2048  # sizes without small ones to fill gaps
     assert packed(df.limit(0)).count() == 0
+
+
+def test_a_key_of_many_items_meets_in_no_one_group(spark):
+    sizes = spark.createDataFrame([(None, 7)] * 300 + [(1, 7)] * 300, "doc_id long, n_tokens long")
+    rows = packed(sizes, capacity=10, group_items=50).collect()
+    assert len(rows) == 600 and sum(r["doc_id"] is None for r in rows) == 300
+    per = Counter(r["container_id"] >> 40 for r in rows)
+    assert len(per) == 12 and max(per.values()) < 120
