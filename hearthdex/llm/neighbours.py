@@ -32,7 +32,7 @@ GRAPH, SEARCHES = 16_384, 65_536
 PROBES, MARGIN = 16, 0.15
 #: Edges of a node, edges that dropped neighbours fill, beams of building and of searches in the own shard and in
 #: others, relaxation of the pruning, and nodes of which the nearest begin a search.
-DEGREE, FILL, BEAM, BEAM_HOME, BEAM_AWAY, ALPHA, ENTRIES = 24, 16, 32, 48, 24, 1.2, 512
+DEGREE, FILL, BEAM, BEAM_HOME, BEAM_AWAY, ALPHA, ENTRIES = 24, 16, 32, 44, 24, 1.2, 512
 DIGITS = 6
 #: Digits of the unit vectors by which vectors have one direction: as fine as the scores.
 WAY_DIGITS = 6
@@ -250,7 +250,8 @@ def neighbours(
     merged = (
         answers.select("class", F.zip_with("scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("best"))
         .groupBy("class")
-        .agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
+        # a pair comes twice at most, from the shards of both
+        .agg(F.slice(F.array_distinct(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, 2 * k + 2)), 1, k + 1).alias("best"))
     )
     # a class of one is its own member; members of larger classes meet their class's list
     lists = merged.join(table.select("class", F.size("ids").alias("size"), "h1", "h2"), "class")
