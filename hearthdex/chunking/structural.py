@@ -22,7 +22,7 @@ from hearthdex.chunking.windows import WINDOW, windows_of
 from hearthdex.functions.paths import LANGUAGE_BY_EXTENSION, language_of
 
 #: Raised when chunks of the same source would come out otherwise; an index of another version is rebuilt.
-CHUNKER_VERSION = 1
+CHUNKER_VERSION = 2
 
 _RUST = re.compile(
     r"(?P<skip>\s+)|(?P<comment>//[^\n]*|/\*)|(?P<str>(?:b|c)?r(#*)\".*?\"\4|[bc]?\"(?:[^\"\\]|\\.)*\")|(?P<char>b?'(?:[^'\\\n]|\\[^u]|\\u\{[^}]*\}|\\x..)')"
@@ -30,11 +30,12 @@ _RUST = re.compile(
     re.S,
 )
 _ECMA = re.compile(
-    r"(?P<line>\s*\n\s*)|(?P<skip>[^\S\n]+)|(?P<comment>//[^\n]*|/\*)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"
+    r"(?P<line>\s*\n\s*)|(?P<skip>[^\S\n]+)|(?P<comment>//[^\n]*|/\*)|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<tick>`)"
     r"|(?P<word>[#]?[^\W\d][\w$]*|\$[\w$]*)|(?P<num>\d[\w.]*)|(?P<op>=>|\+\+|--|.)",
     re.S,
 )
 _ECMA_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\\\]\n]|\\.)*\])+/\w*")
+_ECMA_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 _CONTROL = frozenset("if for while switch catch with function return typeof new await super import else do".split())
 
@@ -61,6 +62,8 @@ class _Scan:
                     fresh = fresh or "\n" in source[at:end]
                 at = end
                 continue
+            if kind == "tick":
+                kind, end = "str", _template_end(source, end)
             if regexes and m[0] == "/" and not (self.tokens and (self.tokens[-1][0] in ("num", "str") or self.tokens[-1][1] in ")]}" or (self.tokens[-1][0] == "word" and self.tokens[-1][1] not in _CONTROL))):
                 r = _ECMA_REGEX.match(source, at)
                 if r:
@@ -79,6 +82,37 @@ class _Scan:
             raise ValueError("brackets")
 
 
+def _template_end(source: str, at: int) -> int:
+    """The place behind a template string that opens before ``at``; expressions in it may hold strings and templates."""
+    opened = [-1]  # -1 for a template, else the braces open in an expression
+    while opened:
+        if at >= len(source):
+            raise ValueError("template")
+        c = source[at]
+        if opened[-1] < 0:
+            if c == "\\":
+                at += 1
+            elif c == "`":
+                opened.pop()
+            elif source.startswith("${", at):
+                opened.append(0)
+                at += 1
+        elif c == "`":
+            opened.append(-1)
+        elif c in "\"'" and (m := _ECMA_STRING.match(source, at)):
+            at = m.end() - 1
+        elif source.startswith("/*", at):
+            at = _comment_end(source, at + 2, False) - 1
+        elif c == "{":
+            opened[-1] += 1
+        elif c == "}":
+            opened[-1] -= 1
+            if opened[-1] < 0:
+                opened.pop()
+        at += 1
+    return at
+
+
 def _comment_end(source: str, at: int, nested: bool) -> int:
     depth = 1
     while depth:

@@ -111,3 +111,11 @@ def test_as_operator(spark):
     assert {(r["path"], r["language"], r["symbol"], r["text"]) for r in rows} == {("a.py", "python", "f", "def f():\n    pass"), ("b.md", "text", None, "x\ny"), (None, "text", None, "z")}
     assert [(r["path"], r["code"], r["why_matched"]) for r in outline(df).where("path = 'a.py'").collect()] == [("a.py", "def f():", "outline")]
     assert chunked(df.drop("start_line").limit(0)).count() == 0
+
+
+def test_template_strings_that_hold_templates():
+    nested = "const x = `x${`}`}` + `a ${ {b: '}'}[`c${\"`\"}`] /* ` */ } \\` \\${`;\n"
+    source = nested + "export function alpha() {\n  return `${f({a: `)`})}`;\n}\n\nclass Point {\n  m() {}\n}\n"
+    for language in ("javascript", "typescript"):
+        assert [c.symbol for c in chunk_source(language, source)] == [None, "alpha", "Point"]  # a constant is a chunk without a symbol
+        assert [c.symbol for c in chunk_source(language, source + "const y = `${")] == [None]
